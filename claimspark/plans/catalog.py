@@ -36,3 +36,421 @@ SELECT claim_type, prior_auth_present, COUNT(*) AS n_claims, SUM(denial_label) A
 FROM f GROUP BY claim_type, prior_auth_present"""))
 def q_denial_rate_by_prior_auth(spark, sf_dir):
     return label.denial_rate_by_prior_auth(P.claims_features(spark, sf_dir))
+
+
+# --- slice 2: raw cleaning ---------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from .. import constants as K  # noqa: E402
+from ..functions.cleaning import icd9_prefix  # noqa: E402
+from ..operators import audit as AU  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import ingest as IN  # noqa: E402
+from ..operators import metrics as ME  # noqa: E402
+from ..operators import quality as DQ  # noqa: E402
+from ..operators import sampling as SM  # noqa: E402
+from ..operators import shap as SH  # noqa: E402
+from ..operators import whatif as WI  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+
+
+def _sel(cols: list[str]) -> str:
+    return ", ".join(cols)
+
+
+@register("claim_type_counts", O.with_ctes(["cr"], "SELECT claim_type, COUNT(*) AS n FROM cr GROUP BY claim_type"))
+def q_claim_type_counts(spark, sf_dir):
+    return P.claims_raw(spark, sf_dir).groupBy("claim_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DATES = ["claim_id", "claim_type", "CLM_FROM_DT", "CLM_THRU_DT"]
+
+
+@register("clean_dates", O.with_ctes(["cc"], f"SELECT {_sel(_DATES)} FROM cc"))
+def q_clean_dates(spark, sf_dir):
+    return P.clean_claims(spark, sf_dir).select(*_DATES)
+
+
+_NPI = ["claim_id", "AT_PHYSN_NPI", "OP_PHYSN_NPI"]
+
+
+@register("clean_npi", O.with_ctes(["cc"], f"SELECT {_sel(_NPI)} FROM cc"))
+def q_clean_npi(spark, sf_dir):
+    return P.clean_claims(spark, sf_dir).select(*_NPI)
+
+
+def _kind_frame(spark, sf_dir, kind: str):
+    raw = FX.raw_claims(spark, sf_dir).filter(F.col("claim_type") == kind).drop("claim_type")
+    wanted = K.IP_COLS if kind == "IP" else K.OP_COLS
+    return raw.select(*[c for c in wanted if c in raw.columns])
+
+
+@register("segment_filter", O.with_ctes(["cc"], "SELECT claim_id FROM cc WHERE claim_type = 'IP'"))
+def q_segment_filter(spark, sf_dir):
+    return IN.clean_claims(_kind_frame(spark, sf_dir, "IP"), kind="IP").select("claim_id")
+
+
+_UNION = ["claim_id", "claim_type", "HCPCS_CD_1", "CLM_DRG_CD", "ADMTNG_ICD9_DGNS_CD", "CLM_UTLZTN_DAY_CNT"]
+
+
+@register("union_ip_op", O.with_ctes(["cc"], f"SELECT {_sel(_UNION)} FROM cc"))
+def q_union_ip_op(spark, sf_dir):
+    ip = IN.clean_claims(_kind_frame(spark, sf_dir, "IP"), kind="IP")
+    op = IN.clean_claims(_kind_frame(spark, sf_dir, "OP"), kind="OP")
+    return IN.union_claims([ip, op]).select(*_UNION)
+
+
+@register("claims_bene_left_join", O.with_ctes(["cr"], "SELECT * FROM cr"))
+def q_claims_bene_left_join(spark, sf_dir):
+    return P.claims_raw(spark, sf_dir)
+
+
+# --- slice 3: features -------------------------------------------------------
+_FEAT_SETS = {
+    "feat_temporal": (FE.feat_temporal, ["los_days", "claim_year", "claim_month"]),
+    "feat_amounts": (FE.feat_amounts, ["clm_pmt_amt", "primary_payer_amt", "has_primary_payer", "is_adjustment"]),
+    "feat_provider": (FE.feat_provider, ["prior_auth_present", "has_op_surgeon"]),
+    "feat_diagnosis": (FE.feat_diagnosis, ["primary_icd9_num", "num_diagnoses", "num_procedures", "has_procedure",
+                                           "has_hcpcs", "drg_num", "utlztn_days"]),
+    "feat_demographics": (FE.feat_demographics, ["bene_age", "bene_sex", "bene_race", "bene_esrd", "bene_hi_mons",
+                                                 "bene_hmo_mons", "bene_is_deceased"]),
+    "feat_chronic": (FE.feat_chronic, [*K.CHRONIC_FEATURES, "chronic_count"]),
+}
+
+
+def _feat_query(stage, cols):
+    def q(spark, sf_dir):
+        return stage(P.claims_raw(spark, sf_dir)).select("claim_id", *cols)
+    return q
+
+
+for _name, (_stage, _cols) in _FEAT_SETS.items():
+    register(_name, O.with_ctes(["f0"], f"SELECT claim_id, {_sel(_cols)} FROM f0"))(_feat_query(_stage, _cols))
+
+_FT_COLS = [*K.ID_COLS, *K.FEATURE_COLS]
+
+
+@register("feature_table", O.with_ctes(["f"], f"SELECT {_sel(_FT_COLS)}, ROUND(denial_prob, 6) AS denial_prob, "
+                                              "denial_label FROM f"))
+def q_feature_table(spark, sf_dir):
+    return P.claims_features(spark, sf_dir).select(*_FT_COLS, F.round("denial_prob", 6).alias("denial_prob"),
+                                                   "denial_label")
+
+
+_ICD_SRC = ["ADMTNG_ICD9_DGNS_CD", "ICD9_DGNS_CD_1", "ICD9_DGNS_CD_2", "ICD9_DGNS_CD_3"]
+_ICD_OUT = ["adm_prefix", "dx1_prefix", "dx2_prefix", "dx3_prefix"]
+
+
+@register("icd9_prefix_strict", O.with_ctes(["cc"], "SELECT claim_id, " + ", ".join(
+    f"{c}, {O.icd(c)} AS {o}" for c, o in zip(_ICD_SRC, _ICD_OUT)) + " FROM cc"))
+def q_icd9_prefix_strict(spark, sf_dir):
+    cc = P.clean_claims(spark, sf_dir)
+    return cc.select("claim_id", *[x for c, o in zip(_ICD_SRC, _ICD_OUT) for x in (F.col(c), icd9_prefix(c).alias(o))])
+
+
+@register("icd9_prefix_normalised", O.with_ctes(["raw_claims"], "SELECT CLM_ID AS claim_id, " + ", ".join(
+    f"{O.icd(c, normalise=True)} AS {o}" for c, o in zip(_ICD_SRC, _ICD_OUT)) + " FROM raw_claims"))
+def q_icd9_prefix_normalised(spark, sf_dir):
+    raw = FX.raw_claims(spark, sf_dir)
+    return raw.select(F.col("CLM_ID").alias("claim_id"),
+                      *[icd9_prefix(c, normalise=True).alias(o) for c, o in zip(_ICD_SRC, _ICD_OUT)])
+
+
+# --- slice 4: survey rates and label -----------------------------------------
+
+@register("survey_rates", O.with_ctes(["sr"], "SELECT age_group, insurance_type, ROUND(denial_rate, 6) AS "
+                                              "denial_rate, n, source FROM sr"))
+def q_survey_rates(spark, sf_dir):
+    return P.survey_rates(spark, sf_dir).withColumn("denial_rate", F.round("denial_rate", 6))
+
+
+@register("base_rate_intercept", O.with_ctes(["ic"], "SELECT ROUND(base_rate, 9) AS base_rate, "
+                                                     "ROUND(intercept, 9) AS intercept FROM ic"))
+def q_base_rate_intercept(spark, sf_dir):
+    return label.base_rate(P.survey_rates(spark, sf_dir)).select(F.round("base_rate", 9).alias("base_rate"),
+                                                                 F.round("intercept", 9).alias("intercept"))
+
+
+@register("scorecard_prob", O.with_ctes(["f", "fl"], "SELECT fl.claim_id, ROUND(fl.log_odds, 6) AS log_odds, "
+                                                     "ROUND(f.denial_prob, 6) AS denial_prob FROM fl JOIN f "
+                                                     "ON fl.claim_id = f.claim_id"))
+def q_scorecard_prob(spark, sf_dir):
+    s = label.with_scorecard(P.features_unlabelled(spark, sf_dir), P.intercept(spark, sf_dir))
+    return s.select("claim_id", F.round("log_odds", 6).alias("log_odds"), F.round("denial_prob", 6).alias("denial_prob"))
+
+
+@register("denial_label", O.with_ctes(["f"], "SELECT claim_id, denial_label FROM f"))
+def q_denial_label(spark, sf_dir):
+    return P.claims_features(spark, sf_dir).select("claim_id", "denial_label")
+
+
+@register("label_summary", O.with_ctes(["f"], """
+SELECT COUNT(*) AS n_claims, ROUND(AVG(CAST(denial_label AS DOUBLE)), 6) AS denial_rate, SUM(denial_label) AS n_denied,
+ SUM(CASE WHEN denial_label = 0 THEN 1 ELSE 0 END) AS n_approved,
+ SUM(CASE WHEN prior_auth_present = 0 THEN 1 ELSE 0 END) AS n_no_auth,
+ ROUND(AVG(CASE WHEN prior_auth_present = 0 THEN CAST(denial_label AS DOUBLE) END), 6) AS denial_rate_no_auth,
+ SUM(CASE WHEN prior_auth_present = 1 THEN 1 ELSE 0 END) AS n_with_auth,
+ ROUND(AVG(CASE WHEN prior_auth_present = 1 THEN CAST(denial_label AS DOUBLE) END), 6) AS denial_rate_with_auth
+FROM f"""))
+def q_label_summary(spark, sf_dir):
+    s = label.label_summary(P.claims_features(spark, sf_dir))
+    return s.select(*[F.round(c, 6).alias(c) if c.startswith("denial_rate") else F.col(c).cast("long").alias(c)
+                      for c in s.columns])
+
+
+# --- slice 3b: data quality -----------------------------------------------------
+def _viol_sql() -> str:
+    parts = []
+    for c, lo, hi in DQ.CLAIM_RULES:
+        cond = []
+        if lo is not None:
+            cond.append(f"{c} < {lo}")
+        if hi is not None:
+            cond.append(f"{c} > {hi}")
+        parts.append(f"CASE WHEN {c} IS NOT NULL AND ({' OR '.join(cond)}) THEN '{c}_range' END")
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+@register("validate_claims", O.with_ctes(["f"], f"SELECT claim_id, v = '' AS is_valid, v AS violations FROM "
+                                                f"(SELECT claim_id, {_viol_sql()} AS v FROM f) t"))
+def q_validate_claims(spark, sf_dir):
+    return DQ.with_claim_violations(P.claims_features(spark, sf_dir)).select("claim_id", "is_valid", "violations")
+
+
+@register("quarantine_counts", O.with_ctes(["f"], f"SELECT v = '' AS is_valid, COUNT(*) AS n FROM "
+                                                  f"(SELECT {_viol_sql()} AS v FROM f) t GROUP BY 1"))
+def q_quarantine_counts(spark, sf_dir):
+    return (DQ.with_claim_violations(P.claims_features(spark, sf_dir))
+            .groupBy("is_valid").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- slice 5: sampling, split, metrics ---------------------------------------------
+_BG_SEED = "background-42"
+O.register("bg", f"bg AS (SELECT f.*, md5(claim_id || '|{_BG_SEED}') AS sample_key FROM f "
+                 f"ORDER BY sample_key LIMIT {K.LIME_BACKGROUND_SIZE})", ["f"])
+O.register("sp", "sp AS (SELECT f.*, CASE WHEN " + __import__("claimspark.functions.mathx", fromlist=["x"])
+           .hash_uniform_sql("claim_id", "split-42") + f" < {K.TEST_FRACTION} THEN 'test' ELSE 'train' END AS split, "
+           "ROUND(denial_prob, 10) AS score FROM f)", ["f"])
+
+
+def _background(spark, sf_dir):
+    return SM.uniform_sample(P.claims_features(spark, sf_dir), K.LIME_BACKGROUND_SIZE, seed=_BG_SEED)
+
+
+def _split(spark, sf_dir):
+    return SM.with_split(P.claims_features(spark, sf_dir)).withColumn("score", F.round("denial_prob", 10))
+
+
+@register("sample_background", O.with_ctes(["bg"], "SELECT claim_id, sample_key FROM bg"))
+def q_sample_background(spark, sf_dir):
+    return _background(spark, sf_dir).select("claim_id", "sample_key")
+
+
+@register("stratified_split", O.with_ctes(["sp"], "SELECT claim_id, split FROM sp"))
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("claim_id", "split")
+
+
+@register("split_summary", O.with_ctes(["sp"], "SELECT split, COUNT(*) AS n, SUM(denial_label) AS n_denied, "
+                                               "ROUND(AVG(CAST(denial_label AS DOUBLE)), 6) AS denial_rate "
+                                               "FROM sp GROUP BY split"))
+def q_split_summary(spark, sf_dir):
+    return ME.split_summary(_split(spark, sf_dir))
+
+
+@register("class_weights", O.with_ctes(["sp"], """
+SELECT n_pos, n_neg, ROUND(n_neg / n_pos, 6) AS scale_pos_weight, ROUND((n_pos + n_neg) / (2.0 * n_pos), 6) AS weight_pos,
+ ROUND((n_pos + n_neg) / (2.0 * n_neg), 6) AS weight_neg FROM (SELECT SUM(CASE WHEN denial_label = 1 THEN 1 ELSE 0 END)
+ AS n_pos, SUM(CASE WHEN denial_label = 0 THEN 1 ELSE 0 END) AS n_neg FROM sp WHERE split = 'train') t"""))
+def q_class_weights(spark, sf_dir):
+    return ME.class_weights(_split(spark, sf_dir).filter(F.col("split") == "train"))
+
+
+@register("column_medians", O.with_ctes(["bg"], " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, ROUND(CAST(MEDIAN({c}) AS DOUBLE), 6) AS median FROM bg" for c in K.FEATURE_COLS)))
+def q_column_medians(spark, sf_dir):
+    row = _background(spark, sf_dir).agg(*[F.median(c).alias(c) for c in K.FEATURE_COLS])
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in K.FEATURE_COLS)
+    return row.selectExpr(f"stack({len(K.FEATURE_COLS)}, {pairs}) AS (feature, median)") \
+              .withColumn("median", F.round("median", 6))
+
+
+@register("categorical_columns", O.with_ctes(["bg"], " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, COUNT(DISTINCT {c}) AS n_distinct, COUNT(DISTINCT {c}) <= 4 AS is_categorical "
+    f"FROM bg" for c in K.FEATURE_COLS)))
+def q_categorical_columns(spark, sf_dir):
+    row = _background(spark, sf_dir).agg(*[F.countDistinct(c).alias(c) for c in K.FEATURE_COLS])
+    pairs = ", ".join(f"'{c}', `{c}`" for c in K.FEATURE_COLS)
+    return (row.selectExpr(f"stack({len(K.FEATURE_COLS)}, {pairs}) AS (feature, n_distinct)")
+               .withColumn("is_categorical", F.col("n_distinct") <= 4))
+
+
+_CONF_SQL = ("SELECT split, SUM(CASE WHEN score >= 0.5 AND denial_label = 1 THEN 1 ELSE 0 END) AS tp, "
+             "SUM(CASE WHEN score >= 0.5 AND denial_label = 0 THEN 1 ELSE 0 END) AS fp, "
+             "SUM(CASE WHEN score < 0.5 AND denial_label = 0 THEN 1 ELSE 0 END) AS tn, "
+             "SUM(CASE WHEN score < 0.5 AND denial_label = 1 THEN 1 ELSE 0 END) AS fn FROM sp GROUP BY split")
+O.register("cf", f"cf AS ({_CONF_SQL})", ["sp"])
+O.register("gsc", "gsc AS (SELECT split, score, SUM(denial_label) AS pos, SUM(1 - denial_label) AS neg FROM sp "
+                  "GROUP BY split, score)", ["sp"])
+O.register("gcum", "gcum AS (SELECT gsc.*, COALESCE(SUM(pos) OVER w, 0) AS pos_below, "
+                   "COALESCE(SUM(neg) OVER w, 0) AS neg_below, SUM(pos) OVER (PARTITION BY split) AS P, "
+                   "SUM(neg) OVER (PARTITION BY split) AS N FROM gsc WINDOW w AS (PARTITION BY split ORDER BY score "
+                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", ["gsc"])
+O.register("auc", "auc AS (SELECT split, ROUND(SUM(pos * (neg_below + 0.5 * neg)) / (MAX(P) * MAX(N)), 4) AS auc_roc, "
+                  "ROUND(SUM(pos * (P - pos_below) / ((P - pos_below) + (N - neg_below))) / MAX(P), 4) "
+                  "AS avg_precision FROM gcum GROUP BY split)", ["gcum"])
+
+
+@register("confusion", O.with_ctes(["cf"], "SELECT * FROM cf"))
+def q_confusion(spark, sf_dir):
+    return ME.confusion(_split(spark, sf_dir))
+
+
+@register("roc_auc", O.with_ctes(["auc"], "SELECT split, auc_roc FROM auc"))
+def q_roc_auc(spark, sf_dir):
+    return ME.roc_auc_ap(_split(spark, sf_dir)).select("split", "auc_roc")
+
+
+@register("average_precision", O.with_ctes(["auc"], "SELECT split, avg_precision FROM auc"))
+def q_average_precision(spark, sf_dir):
+    return ME.roc_auc_ap(_split(spark, sf_dir)).select("split", "avg_precision")
+
+
+@register("f1_precision_recall", O.with_ctes(["cf"], """
+SELECT split, ROUND(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision,
+ ROUND(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall,
+ ROUND(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1 FROM cf"""))
+def q_f1_precision_recall(spark, sf_dir):
+    return ME.f1_precision_recall(ME.confusion(_split(spark, sf_dir)))
+
+
+@register("risk_levels", O.with_ctes(["f"], """
+SELECT claim_id, ROUND(denial_prob, 6) AS prediction_prob, CASE WHEN denial_prob > 0.5 THEN 'DENY' ELSE 'APPROVE' END
+ AS recommended_action, CASE WHEN denial_prob >= 0.7 THEN 'HIGH' WHEN denial_prob >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END
+ AS denial_risk_level FROM f"""))
+def q_risk_levels(spark, sf_dir):
+    return WI.score_table(P.claims_features(spark, sf_dir)) \
+        .withColumn("prediction_prob", F.round("prediction_prob", 6))
+
+
+# --- slice 6: attributions, drivers, importance, fairness, hints, what-if ----
+_PHI = [f"phi_{f}" for f in K.FEATURE_COLS]
+
+
+@register("scorecard_shap", O.with_ctes(["sh"], "SELECT claim_id, ROUND(base_value, 6) AS base_value, "
+                                                "ROUND(base_value + " + " + ".join(_PHI) + ", 6) AS log_odds, "
+                                                + ", ".join(f"ROUND({c}, 6) AS {c}" for c in _PHI) + " FROM sh"))
+def q_scorecard_shap(spark, sf_dir):
+    s = P.scorecard_shap(spark, sf_dir)
+    return s.select("claim_id", *[F.round(c, 6).alias(c) for c in ["base_value", "log_odds", *_PHI]])
+
+
+@register("top_drivers", O.with_ctes(["rk"], """
+SELECT claim_id, rnk AS rank, feature, ROUND(value, 6) AS shap_value,
+ CASE WHEN value > 0 THEN 'increases_denial' ELSE 'decreases_denial' END AS direction FROM rk WHERE rnk <= 10"""))
+def q_top_drivers(spark, sf_dir):
+    return SH.top_drivers(P.scorecard_shap(spark, sf_dir), k=10).withColumn("rank", F.col("rank").cast("long"))
+
+
+_N_OTHER = len(K.FEATURE_COLS) - 14
+O.register("wf", f"""wf AS (SELECT claim_id, rnk AS step, feature, value FROM rk WHERE rnk <= 14 UNION ALL
+ SELECT claim_id, 15 AS step, '{_N_OTHER} other features' AS feature, SUM(value) AS value FROM rk WHERE rnk > 14
+ GROUP BY claim_id)""", ["rk"])
+
+
+@register("waterfall", O.with_ctes(["wf", "sh"], """
+SELECT wf.claim_id, step, feature, ROUND(value, 6) AS shap_value,
+ ROUND(sh.base_value + SUM(value) OVER (PARTITION BY wf.claim_id ORDER BY step ROWS UNBOUNDED PRECEDING), 6)
+ AS cumulative FROM wf JOIN sh ON wf.claim_id = sh.claim_id"""))
+def q_waterfall(spark, sf_dir):
+    return SH.waterfall(P.scorecard_shap(spark, sf_dir)).withColumn("step", F.col("step").cast("long"))
+
+
+@register("global_importance", O.with_ctes(["gi"], "SELECT feature, mean_abs_shap, rank FROM gi"))
+def q_global_importance(spark, sf_dir):
+    return SH.global_importance(P.scorecard_shap(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("beeswarm_summary", O.with_ctes(["lg"], """
+SELECT feature, COUNT(*) AS n, ROUND(AVG(ABS(value)), 6) AS mean_abs_shap, ROUND(AVG(value), 6) AS mean_shap,
+ SUM(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS n_positive,
+ ROUND(AVG(CASE WHEN value > 0 THEN x END), 6) AS mean_value_when_positive,
+ ROUND(AVG(CASE WHEN NOT (value > 0) THEN x END), 6) AS mean_value_when_not_positive FROM lg GROUP BY feature"""))
+def q_beeswarm_summary(spark, sf_dir):
+    return SH.beeswarm_summary(P.scorecard_shap(spark, sf_dir))
+
+
+_PROT = ", ".join(f"'{f}'" for f in K.PROTECTED_FEATURES)
+
+
+@register("protected_rank", O.with_ctes(["gi"], f"""
+SELECT feature, rank, mean_abs_shap, ROUND(CASE WHEN top > 0 THEN mean_abs_shap / top * 100 ELSE 0.0 END, 4)
+ AS pct_of_top, rank <= 10 AS in_top_k FROM gi, (SELECT MAX(mean_abs_shap) AS top FROM gi) t
+ WHERE feature IN ({_PROT})"""))
+def q_protected_rank(spark, sf_dir):
+    return WI.protected_rank(P.scorecard_shap(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("counterfactual_hints", O.with_ctes(["rk", "ht", "f"], f"""
+SELECT claim_id, hint_rank, hint FROM (
+ SELECT rk.claim_id, ROW_NUMBER() OVER (PARTITION BY rk.claim_id ORDER BY rnk) AS hint_rank,
+  '[' || rk.feature || '  SHAP=' || printf('%+.4f', ROUND(value, 4)) || ']  ' || COALESCE(ht.hint, '{O._q(K.DEFAULT_HINT)}')
+  AS hint FROM rk JOIN f ON rk.claim_id = f.claim_id LEFT JOIN ht ON rk.feature = ht.feature
+ WHERE f.denial_prob > 0.5 AND value > 0) t WHERE hint_rank <= 3
+UNION ALL SELECT claim_id, 1 AS hint_rank, '{O._q(K.APPROVED_HINT)}' AS hint FROM f WHERE NOT (denial_prob > 0.5)"""))
+def q_counterfactual_hints(spark, sf_dir):
+    return SH.counterfactual_hints(P.scorecard_shap(spark, sf_dir)).withColumn("hint_rank",
+                                                                                F.col("hint_rank").cast("long"))
+
+
+@register("what_if_prior_auth", O.with_ctes(["sh"], f"""
+SELECT claim_id, ROUND(p0, 6) AS prob_original, ROUND(p1, 6) AS prob_corrected, ROUND(p0 - p1, 6) AS abs_change,
+ ROUND(CASE WHEN p0 > 0 THEN (p0 - p1) / p0 END, 6) AS rel_change, ROUND(phi_prior_auth_present, 6) AS shap_original,
+ ROUND(-{K.W_NO_PRIOR_AUTH!r} * m_no_prior_auth, 6) AS shap_corrected,
+ ROUND(-{K.W_NO_PRIOR_AUTH!r} * m_no_prior_auth - phi_prior_auth_present, 6) AS shap_shift,
+ CASE WHEN p0 > 0.5 THEN 'DENY' ELSE 'APPROVE' END AS action_original,
+ CASE WHEN p1 > 0.5 THEN 'DENY' ELSE 'APPROVE' END AS action_corrected
+FROM (SELECT sh.*, m_no_prior_auth, denial_prob AS p0,
+  1.0 / (1.0 + EXP(-GREATEST(-20.0, LEAST(20.0, {O.LO_SQL.replace('prior_auth_present', '1')})))) AS p1
+  FROM sh, mu, ic WHERE prior_auth_present = 0) t"""))
+def q_what_if_prior_auth(spark, sf_dir):
+    f = P.claims_features(spark, sf_dir).filter(F.col("prior_auth_present") == 0)
+    return WI.what_if(f, P.intercept(spark, sf_dir), P.background_means(spark, sf_dir), WI.PRIOR_AUTH_FIX)
+
+
+# --- slice 7: audit -----------------------------------------------------------
+_AV = ("CASE WHEN final_decision IS NULL OR NOT regexp_matches(final_decision, '^(APPROVE|DENY)$') THEN 'decision' END, "
+       "CASE WHEN override_reason IS NULL OR length(override_reason) < 5 THEN 'reason_too_short' END")
+O.register("av", f"av AS (SELECT raw_overrides.*, concat_ws(',', {_AV}) AS violations FROM raw_overrides)",
+           ["raw_overrides"])
+O.register("al", "al AS (SELECT audit_id, claim_id, member_id, adjuster_name, model_decision, model_prob, "
+                 "final_decision, override_reason, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp "
+                 "FROM av WHERE violations = '')", ["av"])
+
+
+def _audit_log(spark, sf_dir):
+    checked = DQ.with_override_violations(FX.raw_overrides(spark, sf_dir))
+    return (checked.filter("is_valid")
+                   .withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+                   .select(*AU.AUDIT_COLUMNS))
+
+
+@register("audit_validate", O.with_ctes(["av"], "SELECT audit_id, violations = '' AS is_valid, violations FROM av"))
+def q_audit_validate(spark, sf_dir):
+    return DQ.with_override_violations(FX.raw_overrides(spark, sf_dir)).select("audit_id", "is_valid", "violations")
+
+
+@register("audit_page", O.with_ctes(["al"], """
+SELECT al.*, (SELECT COUNT(*) FROM al) AS total, 2 AS page, 20 AS page_size FROM al
+ORDER BY timestamp, audit_id LIMIT 20 OFFSET 20"""))
+def q_audit_page(spark, sf_dir):
+    return AU.page(_audit_log(spark, sf_dir), page_no=2, page_size=20)
+
+
+@register("audit_report", O.with_ctes(["al"], f"""
+SELECT audit_id, claim_id, adjuster_name, model_decision, final_decision,
+ CASE WHEN length(override_reason) > {K.AUDIT_REASON_DISPLAY_LEN} THEN substr(override_reason, 1,
+ {K.AUDIT_REASON_DISPLAY_LEN}) || '...' ELSE override_reason END AS reason_short,
+ final_decision <> model_decision AS is_override FROM al"""))
+def q_audit_report(spark, sf_dir):
+    return AU.report(_audit_log(spark, sf_dir))

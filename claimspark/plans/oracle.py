@@ -179,3 +179,74 @@ def with_ctes(needs: list[str], body: str) -> str:
     for n in needs:
         visit(n)
     return "WITH " + ",\n".join(CTES[n][0] for n in order) + "\n" + body
+
+
+# --- scorecard attributions ------------------------------------------------
+def _term_sqls() -> dict[str, str]:
+    z = lambda c: f"COALESCE(CAST({c} AS DOUBLE), 0.0)"
+    b = lambda cond: f"CAST(({cond}) AS DOUBLE)"
+    return {
+        "no_prior_auth": f"(1.0 - {z('prior_auth_present')})",
+        "zero_or_neg_payment": b(f"{z('clm_pmt_amt')} <= 0"),
+        "vcode_primary": b(f"{z('primary_icd9_num')} >= 900"),
+        "high_cost": b(f"{z('clm_pmt_amt')} > {K.HIGH_COST_AMOUNT}"),
+        "chronic_burden": f"({z('chronic_count')} / 10.0)",
+        "coverage_stability": f"({z('bene_hi_mons')} / 12.0)",
+        "has_hmo": b(f"{z('bene_hmo_mons')} > 0"),
+        "a": b(f"{z('is_inpatient')} = 1"),
+        "b": b("COALESCE(CAST(los_days AS DOUBLE), 1.0) <= 0"),
+    }
+
+
+_W = {"no_prior_auth": K.W_NO_PRIOR_AUTH, "zero_or_neg_payment": K.W_ZERO_OR_NEG_PAYMENT,
+      "vcode_primary": K.W_VCODE_PRIMARY, "high_cost": K.W_HIGH_COST, "chronic_burden": K.W_CHRONIC_BURDEN,
+      "coverage_stability": K.W_COVERAGE_STABILITY, "has_hmo": K.W_HAS_HMO}
+_TF = {"no_prior_auth": "prior_auth_present", "zero_or_neg_payment": "clm_pmt_amt",
+       "vcode_primary": "primary_icd9_num", "high_cost": "clm_pmt_amt", "chronic_burden": "chronic_count",
+       "coverage_stability": "bene_hi_mons", "has_hmo": "bene_hmo_mons"}
+_ts = _term_sqls()
+TM = "tm AS (SELECT f.*, " + ", ".join(f"{v} AS t_{k}" for k, v in _ts.items()) + " FROM f)"
+MU = ("mu AS (SELECT " + ", ".join(f"AVG(t_{k}) AS m_{k}" for k in _ts)
+      + ", AVG(t_a * t_b) AS m_ab FROM tm)")
+
+
+def _phi_sql() -> dict[str, str]:
+    phi = {f: "CAST(0.0 AS DOUBLE)" for f in K.FEATURE_COLS}
+    parts: dict[str, list[str]] = {}
+    for n, feat in _TF.items():
+        parts.setdefault(feat, []).append(f"CAST({_W[n]!r} AS DOUBLE) * (t_{n} - m_{n})")
+    for feat, ps in parts.items():
+        phi[feat] = " + ".join(ps)
+    h = K.W_ZERO_LOS_INPATIENT * 0.5
+    phi["is_inpatient"] = f"CAST({h!r} AS DOUBLE) * ((t_a * m_b - m_ab) + (t_a * t_b - m_a * t_b))"
+    phi["los_days"] = f"CAST({h!r} AS DOUBLE) * ((m_a * t_b - m_ab) + (t_a * t_b - t_a * m_b))"
+    return phi
+
+
+PHI = _phi_sql()
+BASE_SQL = ("(ic.intercept + " + " + ".join(f"CAST({_W[n]!r} AS DOUBLE) * m_{n}" for n in _TF)
+            + f" + CAST({K.W_ZERO_LOS_INPATIENT!r} AS DOUBLE) * m_ab)")
+SH = ("sh AS (SELECT tm.*, " + BASE_SQL + " AS base_value, "
+      + ", ".join(f"({PHI[f]}) AS phi_{f}" for f in K.FEATURE_COLS) + " FROM tm, mu, ic)")
+FI = ("fi AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(K.FEATURE_COLS))
+      + ") t(feature, idx))")
+LG = ("lg AS (" + " UNION ALL ".join(
+    f"SELECT claim_id, '{f}' AS feature, {i} AS idx, CAST(phi_{f} AS DOUBLE) AS value, CAST({f} AS DOUBLE) AS x "
+    f"FROM sh" for i, f in enumerate(K.FEATURE_COLS)) + ")")
+RK = ("rk AS (SELECT lg.*, ROW_NUMBER() OVER (PARTITION BY claim_id ORDER BY ROUND(-ABS(value), 9), idx) "
+      "AS rnk FROM lg)")
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+HT = ("ht AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{_q(K.HINTS.get(f, K.DEFAULT_HINT))}')"
+                                                   for f in K.FEATURE_COLS) + ") t(feature, hint))")
+GI = ("gi AS (SELECT feature, idx, ROUND(AVG(ABS(value)), 6) AS mean_abs_shap, "
+      "ROW_NUMBER() OVER (ORDER BY ROUND(AVG(ABS(value)), 9) DESC, idx) AS rank FROM lg GROUP BY feature, idx)")
+
+CTES.update({
+    "tm": (TM, ["f"]), "mu": (MU, ["tm"]), "sh": (SH, ["tm", "mu", "ic"]), "fi": (FI, []),
+    "lg": (LG, ["sh"]), "rk": (RK, ["lg"]), "ht": (HT, []), "gi": (GI, ["lg"]),
+})

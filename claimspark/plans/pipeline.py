@@ -7,6 +7,7 @@ only eager step is the label intercept, a single aggregated scalar.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators import ingest, label, survey
@@ -45,3 +46,22 @@ def features_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claims_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 42-column ``claims_features`` table (ids, 36 features, prob, label)."""
     return label.with_denial_label(features_unlabelled(spark, sf_dir), intercept(spark, sf_dir))
+
+
+_MEANS: dict[tuple[int, str], dict] = {}
+
+
+def background_means(spark: SparkSession, sf_dir: str) -> dict:
+    key = (id(spark), sf_dir)
+    if key not in _MEANS:
+        from ..operators.shap import background_means as bm
+        _MEANS[key] = bm(claims_features(spark, sf_dir))
+    return _MEANS[key]
+
+
+def scorecard_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims features + scorecard attributions (``phi_*``, ``base_value``)."""
+    from ..operators.shap import with_scorecard_shap
+    f = claims_features(spark, sf_dir)
+    return with_scorecard_shap(f, intercept(spark, sf_dir), background_means(spark, sf_dir)) \
+        .withColumn("prediction_prob", F.col("denial_prob"))
