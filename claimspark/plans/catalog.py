@@ -454,3 +454,25 @@ SELECT audit_id, claim_id, adjuster_name, model_decision, final_decision,
  final_decision <> model_decision AS is_override FROM al"""))
 def q_audit_report(spark, sf_dir):
     return AU.report(_audit_log(spark, sf_dir))
+
+
+# --- slice 10: letters and checks ----------------------------------------------
+from ..operators import report as RP  # noqa: E402
+
+LETTER_DATE = "2008-12-31"  # fixed report date so letter text is reproducible
+
+
+@register("letter_compliance", O.with_ctes(["sh"], "SELECT claim_id, denial_prob > 0.5 AS has_denial_reasons, "
+                                                   "TRUE AS has_appeal_right, TRUE AS has_appeal_window, "
+                                                   "TRUE AS has_contact, TRUE AS has_ai_disclosure, "
+                                                   "denial_prob > 0.5 AND GREATEST(" + ", ".join(
+                                                       f"{c} > 0" for c in _PHI) + ") AS has_corrective_actions "
+                                                   "FROM sh"))
+def q_letter_compliance(spark, sf_dir):
+    return RP.compliance(RP.letters(P.scorecard_shap(spark, sf_dir), today=LETTER_DATE))
+
+
+@register("scorecard_letters")
+def q_scorecard_letters(spark, sf_dir):
+    """Member letter + adjuster summary per claim from the scorecard attributions."""
+    return RP.letters(P.scorecard_shap(spark, sf_dir), today=LETTER_DATE)
