@@ -476,3 +476,67 @@ def q_letter_compliance(spark, sf_dir):
 def q_scorecard_letters(spark, sf_dir):
     """Member letter + adjuster summary per claim from the scorecard attributions."""
     return RP.letters(P.scorecard_shap(spark, sf_dir), today=LETTER_DATE)
+
+
+# --- slices 8-9: trained models, Tree SHAP, LIME (rows-only checks) -----------
+from . import models as M  # noqa: E402
+from ..operators import lime as LM  # noqa: E402
+from ..operators import model as MD  # noqa: E402
+
+
+@register("gbt_score")
+def q_gbt_score(spark, sf_dir):
+    return M.gbt_score(spark, sf_dir)
+
+
+@register("gbt_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    return M.metrics(spark, sf_dir, "champion").unionByName(M.metrics(spark, sf_dir, "challenger"))
+
+
+@register("gbt_importance")
+def q_gbt_importance(spark, sf_dir):
+    return MD.importance(spark, M.trained(spark, sf_dir, "champion"))
+
+
+@register("champion_challenger")
+def q_champion_challenger(spark, sf_dir):
+    return MD.compare_runs(M.runs(spark, sf_dir))
+
+
+@register("tree_shap")
+def q_tree_shap(spark, sf_dir):
+    return M.tree_shap(spark, sf_dir).drop("bene_id")
+
+
+@register("lime_reasons")
+def q_lime_reasons(spark, sf_dir):
+    return M.lime_reasons(spark, sf_dir)
+
+
+@register("shap_lime_agreement")
+def q_shap_lime_agreement(spark, sf_dir):
+    """XAI-7: share of explained claims whose top SHAP and top LIME feature agree."""
+    top_shap = SH.top_drivers(M.tree_shap(spark, sf_dir), k=1).select("claim_id", F.col("feature").alias("f_shap"))
+    top_lime = M.lime_reasons(spark, sf_dir).filter(F.col("rank") == 1).select("claim_id",
+                                                                               F.col("feature").alias("f_lime"))
+    j = top_lime.join(top_shap, "claim_id")
+    return j.agg(F.count(F.lit(1)).alias("n_claims"),
+                 F.sum((F.col("f_shap") == F.col("f_lime")).cast("long")).alias("n_agree"),
+                 F.round(F.avg((F.col("f_shap") == F.col("f_lime")).cast("double")), 4).alias("agreement_rate"))
+
+
+def _model_letters(spark, sf_dir):
+    shap = M.tree_shap(spark, sf_dir)
+    lime = LM.reasons_per_claim(M.lime_reasons(spark, sf_dir))
+    return RP.letters(shap, today=LETTER_DATE, lime=lime, model_name="Spark ML GBT (champion)")
+
+
+@register("member_letters")
+def q_member_letters(spark, sf_dir):
+    return _model_letters(spark, sf_dir).select("claim_id", "member_letter")
+
+
+@register("adjuster_summaries")
+def q_adjuster_summaries(spark, sf_dir):
+    return _model_letters(spark, sf_dir).select("claim_id", "adjuster_summary")
