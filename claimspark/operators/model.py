@@ -183,11 +183,11 @@ def tree_arrays(spark: SparkSession, model_path: str, model: PipelineModel | Non
     model = model or PipelineModel.load(model_path)
     idx = len(model.stages) - 1
     base = f"{model_path}/stages/{idx}_{model.stages[-1].uid}"
-    nodes = spark.read.parquet(os.path.join(base, "data")).select(
+    nodes = spark.read.parquet(f"{base}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold")
     # treesMetadata columns: _1 tree id, _2 tree params json, _3 tree weight
-    meta = spark.read.parquet(os.path.join(base, "treesMetadata")).collect()
+    meta = spark.read.parquet(f"{base}/treesMetadata").collect()
     tw = {int(r["_1"]): float(r["_3"]) for r in meta}
     rows = sorted(nodes.collect(), key=lambda r: (r["treeID"], r["id"]))
     n = len(rows)
