@@ -50,13 +50,20 @@ def training_frame(features: DataFrame, val_fraction: float = 0.1) -> DataFrame:
     return df
 
 
-def champion(max_iter: int = K.GBT_PARAMS["maxIter"], pos_weight: float = 1.0, **kw) -> GBTClassifier:
-    """ML-1: boosted trees; positive rows weighted by neg/pos (class ratio)."""
+def champion(max_iter: int = K.GBT_PARAMS["maxIter"], early_stopping: bool = False, **kw) -> GBTClassifier:
+    """ML-1: boosted trees; positive rows weighted by neg/pos (class ratio).
+
+    MLlib adds its first tree at full weight, so on a noisy label validation
+    loss rises from the second tree on and validation-based stopping keeps a
+    single tree. By default the full ``max_iter`` rounds are trained;
+    ``early_stopping=True`` watches the validation slice instead.
+    """
     p = dict(maxDepth=K.GBT_PARAMS["maxDepth"], stepSize=K.GBT_PARAMS["stepSize"],
              subsamplingRate=K.GBT_PARAMS["subsamplingRate"], featureSubsetStrategy="0.8", seed=K.SPLIT_SEED)
+    if early_stopping:
+        p.update(validationIndicatorCol="is_val", validationTol=0.0)
     p.update(kw)
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                         validationIndicatorCol="is_val", maxIter=max_iter, **p)
+    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, **p)
 
 
 def challenger(num_trees: int = K.RF_PARAMS["numTrees"], **kw) -> RandomForestClassifier:
@@ -80,17 +87,19 @@ def _class_counts(train: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def fit_champion(train_frame: DataFrame, max_iter: int = 50) -> Trained:
+def fit_champion(train_frame: DataFrame, max_iter: int = 50, early_stopping: bool = False) -> Trained:
     train = train_frame.filter(F.col("split") == "train")
+    if not early_stopping:
+        train = train.filter(~F.col("is_val"))
     n_pos, n = _class_counts(train)
     ratio = (n - n_pos) / max(n_pos, 1)  # AGG-12 scale_pos_weight
     data = model_input(train.withColumn("weight", F.when(F.col("denial_label") == 1, F.lit(ratio))
                                                    .otherwise(F.lit(1.0))))
-    est = champion(max_iter=max_iter)
+    est = champion(max_iter=max_iter, early_stopping=early_stopping)
     model = Pipeline(stages=[assembler(), est]).fit(data)
     params = {"model": "gbt", "maxIter": str(max_iter), "maxDepth": str(est.getMaxDepth()),
               "stepSize": str(est.getStepSize()), "subsamplingRate": str(est.getSubsamplingRate()),
-              "scale_pos_weight": f"{ratio:.6f}"}
+              "scale_pos_weight": f"{ratio:.6f}", "n_trees": str(model.stages[-1].getNumTrees)}
     return Trained("champion", model, params)
 
 
@@ -215,22 +224,19 @@ def tree_arrays(spark: SparkSession, model_path: str, model: PipelineModel | Non
 
 
 def predict_margin(t: TreeArrays, X: np.ndarray) -> np.ndarray:
-    """Ensemble margin for rows of X (vectorised over rows, loop over depth)."""
-    out = np.zeros(X.shape[0])
-    rows = np.arange(X.shape[0])
-    for root, w in zip(t.roots, t.weights):
-        node = np.full(X.shape[0], root)
-        while True:
-            f = t.feature[node]
-            internal = f >= 0
-            if not internal.any():
-                break
-            xv = X[rows, np.where(internal, f, 0)]
-            go_left = xv <= t.threshold[node]
-            nxt = np.where(go_left, t.left[node], t.right[node])
-            node = np.where(internal, nxt, node)
-        out += w * t.value[node]
-    return out
+    """Ensemble margin for rows of X: all trees advance one level per step."""
+    n = X.shape[0]
+    node = np.broadcast_to(t.roots, (n, len(t.roots))).copy()   # (rows, trees)
+    rows = np.arange(n)[:, None]
+    while True:
+        f = t.feature[node]
+        internal = f >= 0
+        if not internal.any():
+            break
+        xv = X[rows, np.where(internal, f, 0)]
+        nxt = np.where(xv <= t.threshold[node], t.left[node], t.right[node])
+        node = np.where(internal, nxt, node)
+    return t.value[node] @ t.weights
 
 
 def predict_proba(t: TreeArrays, X: np.ndarray) -> np.ndarray:

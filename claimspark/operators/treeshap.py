@@ -57,29 +57,53 @@ def leaf_paths(t: TreeArrays) -> tuple[list[tuple], float]:
     return leaves, base
 
 
-def shap_values(leaves: list[tuple], base: float, X: np.ndarray) -> np.ndarray:
-    """(rows, n_features) attributions; rows of X are model inputs."""
-    n = X.shape[0]
-    phi = np.zeros((n, X.shape[1]))
+def _poly_weights(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """For rows of 0/1 flags o (r, m): sum_k w_k e_k for every feature i -> (r, m)."""
+    r, m = o.shape
+    wts = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+    out = np.zeros((r, m))
+    for i in range(m):
+        coef = np.zeros((r, m))
+        coef[:, 0] = 1.0
+        for j in range(m):
+            if j == i:
+                continue
+            new = coef * z[j]
+            new[:, 1:] += coef[:, :-1] * o[:, j:j + 1]
+            coef = new
+        out[:, i] = coef @ wts
+    return out
+
+
+def leaf_tables(leaves: list[tuple]) -> list[tuple]:
+    """Add to each leaf a (2^m, m) table of (o_i - z_i) * weights per flag pattern.
+
+    o_j is 0/1, so a leaf's contribution depends only on which of its m <= depth
+    features the row follows: at most 2^m patterns, computed once per leaf.
+    """
+    out = []
     for v, feats, z, conds in leaves:
         m = len(feats)
         if m == 0:
             continue
-        o = np.ones((n, m))
+        pats = ((np.arange(2 ** m)[:, None] >> np.arange(m)[None, :]) & 1).astype(float)
+        table = v * (pats - z[None, :]) * _poly_weights(z, pats)
+        out.append((feats, conds, table, 1 << np.arange(m)))
+    return out
+
+
+def shap_values(leaves: list[tuple], base: float, X: np.ndarray, tables: list[tuple] | None = None) -> np.ndarray:
+    """(rows, n_features) attributions; rows of X are model inputs."""
+    tables = tables if tables is not None else leaf_tables(leaves)
+    n = X.shape[0]
+    phi = np.zeros((n, X.shape[1]))
+    for feats, conds, table, bits in tables:
+        pattern = np.zeros(n, dtype=np.int64)
+        ok = np.ones((n, len(feats)), dtype=bool)
         for p, f, thr, go_left in conds:
-            ok = X[:, f] <= thr if go_left else X[:, f] > thr
-            o[:, p] *= ok
-        wts = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
-        for i in range(m):
-            coef = np.zeros((n, m))
-            coef[:, 0] = 1.0
-            for j in range(m):
-                if j == i:
-                    continue
-                new = coef * z[j]
-                new[:, 1:] += coef[:, :-1] * o[:, j:j + 1]
-                coef = new
-            phi[:, feats[i]] += v * (o[:, i] - z[i]) * (coef @ wts)
+            ok[:, p] &= (X[:, f] <= thr) if go_left else (X[:, f] > thr)
+        pattern = ok.astype(np.int64) @ bits
+        phi[:, feats] += table[pattern]
     return phi
 
 
@@ -90,12 +114,13 @@ OUT_SCHEMA = ("claim_id string, base_value double, log_odds double, prediction_p
 def tree_shap(features: DataFrame, t: TreeArrays) -> DataFrame:
     """Attributions for every claim, computed per Arrow batch on executors."""
     leaves, base = leaf_paths(t)
+    tables = leaf_tables(leaves)
     xcols = [f"x_{c}" for c in K.FEATURE_COLS]
 
     def run(batches):
         for pdf in batches:
             X = pdf[xcols].to_numpy(dtype=float)
-            phi = shap_values(leaves, base, X)
+            phi = shap_values(leaves, base, X, tables)
             lo = base + phi.sum(axis=1)
             out = pd.DataFrame(phi, columns=[f"phi_{f}" for f in K.FEATURE_COLS])
             out.insert(0, "prediction_prob", 1.0 / (1.0 + np.exp(-lo)))
@@ -104,4 +129,6 @@ def tree_shap(features: DataFrame, t: TreeArrays) -> DataFrame:
             out.insert(0, "claim_id", pdf["claim_id"].to_numpy())
             yield out
 
-    return model_input(features, label=None).select("claim_id", *xcols).mapInPandas(run, OUT_SCHEMA)
+    src = model_input(features, label=None).select("claim_id", *xcols)
+    parts = max(src.sparkSession.sparkContext.defaultParallelism * 2, 1)
+    return src.repartition(parts, "claim_id").mapInPandas(run, OUT_SCHEMA)

@@ -1,16 +1,22 @@
 """Table builders over a scale-factor folder of driver tables.
 
-One lazy plan per table: adapter -> clean -> join -> features -> label. The
-only eager step is the label intercept, a single aggregated scalar.
+One lazy plan per stage: adapter -> clean -> join (``claims_raw``) and
+features -> label (``claims_features``); each stage's table is written once
+to the shared checkpoint folder and read back by later queries. The only
+other eager steps are one-row aggregates (label intercept, background means).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import FEATURE_COLS, ID_COLS
 from ..operators import features as feat
 from ..operators import ingest, label, survey
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
 
 _INTERCEPTS: dict[tuple[int, str], float] = {}
@@ -24,10 +30,37 @@ def clean_bene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.clean_bene(fixtures.raw_bene(spark, sf_dir))
 
 
-def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims_raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.claims_raw(fixtures.raw_claims(spark, sf_dir), fixtures.raw_bene(spark, sf_dir))
 
 
+_TABLES: dict[tuple[int, str, str], str] = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a stage's table once into the shared checkpoint folder, then read it.
+
+    This is the pipeline's stage boundary (the raw and feature tables are
+    written tables, as in the batch design): it cuts lineage, so a lost
+    executor recomputes from the written files, not from the raw inputs, and
+    every later query scans a columnar table with pruning and pushdown.
+    """
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        root = ensure_checkpoint_dir(spark).rstrip("/")
+        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
+        path = f"{root}/tables/{tag}/{name}"
+        build().write.mode("overwrite").partitionBy("sample_num").parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
+
+
+def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written ``claims_raw`` table (45 columns)."""
+    df = materialized(spark, sf_dir, "claims_raw", lambda: claims_raw_plan(spark, sf_dir))
+    return df.select(*ingest.CLAIMS_RAW_COLUMNS)
+
+
 def survey_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.survey_rates(spark, fixtures.raw_survey(spark, sf_dir))
 
@@ -43,11 +76,19 @@ def features_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.build_features(claims_raw(spark, sf_dir))
 
 
-def claims_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 42-column ``claims_features`` table (ids, 36 features, prob, label)."""
+def claims_features_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label.with_denial_label(features_unlabelled(spark, sf_dir), intercept(spark, sf_dir))
 
 
+FEATURE_TABLE_COLUMNS = [*ID_COLS, *FEATURE_COLS, "denial_prob", "denial_label"]
+
+
+def claims_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written 42-column ``claims_features`` table (ids, 36 features, prob, label)."""
+    df = materialized(spark, sf_dir, "claims_features", lambda: claims_features_plan(spark, sf_dir))
+    return df.select(*FEATURE_TABLE_COLUMNS)
+
+
 _MEANS: dict[tuple[int, str], dict] = {}
 
 
