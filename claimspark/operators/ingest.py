@@ -44,6 +44,11 @@ CLAIM_COLUMNS = (["bene_id", "claim_id"] + [c for c in _CLAIM_RAW_ORDER if c not
 BENE_COLUMNS = ["bene_id"] + [c for c in BENE_COLS if c != "DESYNPUF_ID"]
 
 
+def _carry(df: DataFrame) -> list[str]:
+    """Columns kept through cleaning when present (the file's sample number)."""
+    return ["sample_num"] if "sample_num" in df.columns else []
+
+
 def apply_null_tokens(df: DataFrame) -> DataFrame:
     """Exact raw tokens '', ' ', 'NA' -> null on every string column."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -100,7 +105,7 @@ def clean_claims(raw: DataFrame, kind: str | None = None) -> DataFrame:
         if c in df.columns:
             fixes[c] = F.col(c).try_cast("double")
     df = df.withColumns(fixes).withColumnsRenamed({"DESYNPUF_ID": "bene_id", "CLM_ID": "claim_id"})
-    return conform(df, CLAIM_COLUMNS, _claim_type_of)
+    return conform(df, CLAIM_COLUMNS + _carry(df), _claim_type_of)
 
 
 def clean_bene(raw: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def clean_bene(raw: DataFrame) -> DataFrame:
         if c in df.columns:
             fixes[c] = F.col(c).try_cast("int")
     df = df.withColumns(fixes).withColumnsRenamed({"DESYNPUF_ID": "bene_id"})
-    return conform(df, BENE_COLUMNS, _bene_type_of)
+    return conform(df, BENE_COLUMNS + _carry(df), _bene_type_of)
 
 
 def union_claims(frames: list[DataFrame]) -> DataFrame:

@@ -540,3 +540,79 @@ def q_member_letters(spark, sf_dir):
 @register("adjuster_summaries")
 def q_adjuster_summaries(spark, sf_dir):
     return _model_letters(spark, sf_dir).select("claim_id", "adjuster_summary")
+
+
+# --- slice 11: file sources and streams ------------------------------------------
+import hashlib as _hashlib  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import files as SRC  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+
+
+def _stage_root(spark, sf_dir, what):
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/staging/{_hashlib.md5(sf_dir.encode()).hexdigest()[:10]}/{what}"
+
+
+def _write_csv(df, path):
+    (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def stage_raw_files(spark, sf_dir) -> dict:
+    """Write the adapter's raw tables as per-sample CSV files (the raw file layout)."""
+    root = _stage_root(spark, sf_dir, "raw")
+    raw = FX.raw_claims(spark, sf_dir)
+    paths = {
+        "ip": f"{root}/DE1_0_2008_to_2010_Inpatient_Claims_Sample_1.csv",
+        "op": f"{root}/DE1_0_2008_to_2010_Outpatient_Claims_Sample_1.csv",
+        "bene": f"{root}/DE1_0_2008_Beneficiary_Summary_File_Sample_1.csv",
+    }
+    for kind, key in (("IP", "ip"), ("OP", "op")):
+        wanted = K.IP_COLS if kind == "IP" else K.OP_COLS
+        part = raw.filter(F.col("claim_type") == kind)
+        _write_csv(part.select(*[c for c in wanted if c in part.columns]), paths[key])
+    _write_csv(FX.raw_bene(spark, sf_dir), paths["bene"])
+    return paths
+
+
+@register("csv_ingest", O.with_ctes(["cr"], "SELECT * FROM cr"))
+def q_csv_ingest(spark, sf_dir):
+    """SRC-1..5: raw per-sample CSV files -> the 45-column claims_raw table."""
+    p = stage_raw_files(spark, sf_dir)
+    return SRC.load_claims_raw(spark, p["ip"], p["op"], p["bene"])
+
+
+@register("stream_scores", O.with_ctes(["f"], """
+SELECT claim_id, ROUND(denial_prob, 6) AS prediction_prob, CASE WHEN denial_prob > 0.5 THEN 'DENY' ELSE 'APPROVE' END
+ AS recommended_action, CASE WHEN denial_prob >= 0.7 THEN 'HIGH' WHEN denial_prob >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END
+ AS denial_risk_level FROM f"""))
+def q_stream_scores(spark, sf_dir):
+    """ST-1: raw claims arrive as files; the stream scores them (= batch risk_levels)."""
+    src = _stage_root(spark, sf_dir, "claims_in")
+    raw = FX.raw_claims(spark, sf_dir)
+    raw.repartition(8, "CLM_ID").write.mode("overwrite").parquet(src)
+    bene = IN.clean_bene(FX.raw_bene(spark, sf_dir))
+    stream = ST.score_claims(ST.claims_stream(spark, src, raw.schema), bene, P.intercept(spark, sf_dir))
+    run = _uuid.uuid4().hex  # each run gets its own sink and progress folder
+    sink, ck = _stage_root(spark, sf_dir, f"scores/{run}/out"), _stage_root(spark, sf_dir, f"scores/{run}/ck")
+    ST.run_available(stream, sink, ck)
+    return spark.read.parquet(sink).withColumn("prediction_prob", F.round("prediction_prob", 6))
+
+
+@register("stream_audit", O.with_ctes(["al"], "SELECT * FROM al"))
+def q_stream_audit(spark, sf_dir):
+    """ST-2: override requests arrive as files, delivered twice; the stream keeps
+    the valid ones once each."""
+    src = _stage_root(spark, sf_dir, "overrides_in")
+    ov = FX.raw_overrides(spark, sf_dir)
+    ov.write.mode("overwrite").parquet(f"{src}/batch=1")
+    ov.write.mode("overwrite").parquet(f"{src}/batch=2")  # redelivery of the same requests
+    run = _uuid.uuid4().hex
+    sink, ck = _stage_root(spark, sf_dir, f"audit/{run}/out"), _stage_root(spark, sf_dir, f"audit/{run}/ck")
+    stream = ST.audit_entries(spark.readStream.schema(ov.schema).option("maxFilesPerTrigger", 1)
+                              .parquet(f"{src}/*"))
+    ST.run_available(stream, sink, ck)
+    return spark.read.parquet(sink)
