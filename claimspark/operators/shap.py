@@ -86,6 +86,21 @@ def shap_structs(prefix: str = "phi_") -> Column:
     return F.sort_array(F.array(*items))
 
 
+def with_once(df: DataFrame, expr: Column, name: str) -> DataFrame:
+    """Add ``expr`` as a column computed once per row.
+
+    Catalyst inlines a projected expression into every later reference, so an
+    array sort referenced k times would run k times. A generator output is
+    not inlined: ``inline(array(struct(expr)))`` pins one evaluation.
+    """
+    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
+
+
+def ranked_rows(arr: Column, k: int) -> Column:
+    """``inline`` input: (rank, d) rows for the first k elements of a sorted array."""
+    return F.inline(F.arrays_zip(F.sequence(F.lit(1), F.lit(k)).alias("rank"), F.slice(arr, 1, k).alias("d")))
+
+
 def direction(v: Column) -> Column:
     """Zero counts as decreasing (kept from the source behaviour)."""
     return F.when(v > 0, "increases_denial").otherwise("decreases_denial")
@@ -99,31 +114,30 @@ def shap_map(prefix: str = "phi_") -> Column:
 
 def top_drivers(shap: DataFrame, k: int = 10) -> DataFrame:
     """WIN-2: top-k drivers per claim by |attribution|, tie by feature order."""
-    top = shap.select("claim_id", F.slice(shap_structs(), 1, k).alias("d"))
-    return (top.select("claim_id", F.posexplode("d").alias("pos", "d"))
-               .select("claim_id", (F.col("pos") + 1).alias("rank"), F.col("d.feature").alias("feature"),
-                       F.round("d.value", 6).alias("shap_value"), direction(F.col("d.value")).alias("direction")))
+    rows = shap.select("claim_id", ranked_rows(shap_structs(), k))
+    return rows.filter(F.col("d").isNotNull()).select(
+        "claim_id", "rank", F.col("d.feature").alias("feature"), F.round("d.value", 6).alias("shap_value"),
+        direction(F.col("d.value")).alias("direction"))
 
 
 def waterfall(shap: DataFrame, max_display: int = 15) -> DataFrame:
     """WIN-4 as a table: top (max_display - 1) features, one 'other' row, and a
-    running total from the base value to the claim's log-odds."""
-    keep = max_display - 1
-    s = shap.select("claim_id", "base_value", shap_structs().alias("d"))
-    rest = F.aggregate(F.slice("d", keep + 1, len(K.FEATURE_COLS) - keep), F.lit(0.0),
-                       lambda acc, x: acc + x["value"])
-    rows = F.concat(
-        F.transform(F.slice("d", 1, keep), lambda x: F.struct(x["feature"].alias("feature"),
-                                                              x["value"].alias("value"))),
-        F.array(F.struct(F.lit(f"{len(K.FEATURE_COLS) - keep} other features").alias("feature"),
-                         rest.alias("value"))))
-    exploded = s.withColumn("rows", rows).select("claim_id", "base_value", "rows",
-                                                 F.posexplode("rows").alias("pos", "r"))
-    # running total inside the claim's own array: no window over the table
-    running = F.aggregate(F.slice("rows", 1, F.col("pos") + 1), F.lit(0.0), lambda acc, x: acc + x["value"])
-    return exploded.select("claim_id", (F.col("pos") + 1).alias("step"), F.col("r.feature").alias("feature"),
-                           F.round("r.value", 6).alias("shap_value"),
-                           F.round(F.col("base_value") + running, 6).alias("cumulative"))
+    running total from the base value to the claim's log-odds (computed inside
+    the claim's own array: no window over the table)."""
+    keep, n = max_display - 1, len(K.FEATURE_COLS)
+    s = with_once(shap.select("claim_id", "base_value", *[f"phi_{f}" for f in K.FEATURE_COLS]),
+                  shap_structs(), "d").select("claim_id", "base_value", "d")
+    vals = F.col("d.value")
+    rest = F.aggregate(F.slice(vals, keep + 1, n - keep), F.lit(0.0), lambda a, x: a + x)
+    s = with_once(s, F.concat(F.slice(vals, 1, keep), F.array(rest)), "sv")
+    names = F.concat(F.slice(F.col("d.feature"), 1, keep), F.array(F.lit(f"{n - keep} other features")))
+    cums = F.aggregate(F.col("sv"), F.array().cast("array<double>"), lambda acc, x: F.concat(
+        acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)))
+    z = F.arrays_zip(F.sequence(F.lit(1), F.lit(max_display)).alias("step"), names.alias("feature"),
+                     F.col("sv").alias("value"), cums.alias("cum"))
+    return s.select("claim_id", "base_value", F.inline(z)).select(
+        "claim_id", "step", "feature", F.round("value", 6).alias("shap_value"),
+        F.round(F.col("base_value") + F.col("cum"), 6).alias("cumulative"))
 
 
 def long_attributions(shap: DataFrame, prefix: str = "phi_") -> DataFrame:
@@ -170,11 +184,13 @@ def hint_column(feature: Column) -> Column:
 def counterfactual_hints(shap: DataFrame, prob: str = "prediction_prob", top_n: int = 3) -> DataFrame:
     """XAI-4: for p > 0.5 the top positive drivers with their hint text;
     otherwise one 'APPROVED' line. One output row per hint."""
-    d = shap_structs()
+    d = F.col("d")
     positives = F.slice(F.filter(d, lambda x: x["value"] > 0), 1, top_n)
     hints = F.transform(positives, lambda x: F.format_string(
         "[%s  SHAP=%s]  %s", x["feature"], F.format_string("%+.4f", F.round(x["value"], 4)),
         hint_column(x["feature"])))
     arr = F.when(F.col(prob) > K.DENY_THRESHOLD, hints).otherwise(F.array(F.lit(K.APPROVED_HINT)))
-    return (shap.select("claim_id", F.posexplode(arr).alias("pos", "hint"))
-                .select("claim_id", (F.col("pos") + 1).alias("hint_rank"), "hint"))
+    s = with_once(shap.select("claim_id", prob, *[f"phi_{f}" for f in K.FEATURE_COLS]), shap_structs(), "d")
+    return (s.select("claim_id", F.inline(F.arrays_zip(F.sequence(F.lit(1), F.greatest(F.size(arr), F.lit(1)))
+                                                      .alias("hint_rank"), arr.alias("hint"))))
+             .filter(F.col("hint").isNotNull()).select("claim_id", "hint_rank", "hint"))
