@@ -223,19 +223,34 @@ def tree_arrays(spark: SparkSession, model_path: str, model: PipelineModel | Non
                       np.array([offset[t] for t in trees]), np.array([tw[t] for t in trees]), 2.0)
 
 
+def _flat(t: TreeArrays):
+    """Leaves point to themselves with an infinite threshold, so every row can
+    take exactly max-depth steps with no branch on 'is this a leaf'."""
+    leaf = t.feature < 0
+    feat = np.where(leaf, 0, t.feature).astype(np.int64)
+    thr = np.where(leaf, np.inf, t.threshold)
+    idx = np.arange(len(t.feature))
+    child = np.stack([np.where(leaf, idx, t.left), np.where(leaf, idx, t.right)], axis=1).ravel()
+    depth, frontier = 0, set(int(r) for r in t.roots)
+    while frontier:
+        nxt = set()
+        for n in frontier:
+            if not leaf[n]:
+                nxt.update((int(t.left[n]), int(t.right[n])))
+        frontier, depth = nxt, depth + (1 if nxt else 0)
+    return feat, thr, child, depth
+
+
 def predict_margin(t: TreeArrays, X: np.ndarray) -> np.ndarray:
     """Ensemble margin for rows of X: all trees advance one level per step."""
-    n = X.shape[0]
+    feat, thr, child, depth = _flat(t)
+    n, p = X.shape
+    Xf = np.ascontiguousarray(X).ravel()
+    base = (np.arange(n) * p)[:, None]
     node = np.broadcast_to(t.roots, (n, len(t.roots))).copy()   # (rows, trees)
-    rows = np.arange(n)[:, None]
-    while True:
-        f = t.feature[node]
-        internal = f >= 0
-        if not internal.any():
-            break
-        xv = X[rows, np.where(internal, f, 0)]
-        nxt = np.where(xv <= t.threshold[node], t.left[node], t.right[node])
-        node = np.where(internal, nxt, node)
+    for _ in range(depth):
+        go_right = Xf[base + feat[node]] > thr[node]
+        node = child[2 * node + go_right]
     return t.value[node] @ t.weights
 
 
