@@ -142,7 +142,9 @@ def waterfall(shap: DataFrame, max_display: int = 15) -> DataFrame:
 
 def long_attributions(shap: DataFrame, prefix: str = "phi_") -> DataFrame:
     """(claim_id, feature, idx, value, x) rows; used only for per-feature aggregates."""
-    pairs = ", ".join(f"'{f}', {i}, CAST(`{prefix}{f}` AS DOUBLE), CAST(`{f}` AS DOUBLE)"
+    have = set(shap.columns)
+    pairs = ", ".join(f"'{f}', {i}, CAST(`{prefix}{f}` AS DOUBLE), "
+                      + (f"CAST(`{f}` AS DOUBLE)" if f in have else "CAST(NULL AS DOUBLE)")
                       for i, f in enumerate(K.FEATURE_COLS))
     return shap.selectExpr("claim_id", f"stack({len(K.FEATURE_COLS)}, {pairs}) AS (feature, idx, value, x)")
 

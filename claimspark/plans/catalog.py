@@ -616,3 +616,60 @@ def q_stream_audit(spark, sf_dir):
                               .parquet(f"{src}/*"))
     ST.run_available(stream, sink, ck)
     return spark.read.parquet(sink)
+
+
+# --- remaining user-level operators -------------------------------------------------
+
+@register("demo_claim", O.with_ctes(["f"], "SELECT claim_id, ROUND(denial_prob, 6) AS denial_prob FROM f "
+                                          "WHERE denial_label = 1 AND prior_auth_present = 0 "
+                                          "ORDER BY claim_id LIMIT 1"))
+def q_demo_claim(spark, sf_dir):
+    """FLT-2: the first denied claim with no prior authorisation (by claim id)."""
+    f = P.claims_features(spark, sf_dir)
+    return (f.filter((F.col("denial_label") == 1) & (F.col("prior_auth_present") == 0))
+             .orderBy("claim_id").limit(1).select("claim_id", F.round("denial_prob", 6).alias("denial_prob")))
+
+
+_REQ_NOW = "2008-12-31T00:00:00.000000+00:00"
+
+
+def _requests(spark, sf_dir):
+    ov = FX.raw_overrides(spark, sf_dir)
+    return ov.select("claim_id", "member_id", "adjuster_name", F.col("model_prob").alias("original_prob"),
+                     F.col("model_decision").alias("recommended_action"),
+                     F.col("final_decision").alias("override_decision"), F.col("override_reason").alias("reason"))
+
+
+@register("audit_from_requests", O.with_ctes(["raw_overrides"], f"""
+SELECT substr(md5(claim_id || '|' || final_decision || '|' || override_reason), 1, 8) AS audit_id, claim_id,
+ COALESCE(member_id, '') AS member_id, COALESCE(adjuster_name, '') AS adjuster_name, model_decision,
+ ROUND(model_prob, 4) AS model_prob, final_decision, override_reason, '{_REQ_NOW}' AS timestamp,
+ final_decision <> model_decision AS is_override
+FROM raw_overrides WHERE regexp_matches(final_decision, '^(APPROVE|DENY)$') AND length(override_reason) >= 5"""))
+def q_audit_from_requests(spark, sf_dir):
+    """AUD-1: validated override requests -> audit entries (fixed clock for the check)."""
+    e = AU.entries_from_requests(_requests(spark, sf_dir), now=F.lit(_REQ_NOW))
+    return AU.with_is_override(e.withColumn("timestamp", F.lit(_REQ_NOW)))
+
+
+@register("shap_global_sample")
+def q_shap_global_sample(spark, sf_dir):
+    """XAI-1: Tree SHAP on a 2,000-claim uniform sample, with its sample index."""
+    ts = M.tree_shap(spark, sf_dir)
+    smp = SM.uniform_sample(ts, K.SHAP_SAMPLE_SIZE, seed="shap-42")
+    # rank within the (bounded) sample: the sample has at most 2,000 rows
+    from pyspark.sql import Window
+    return smp.withColumn("sample_idx", F.row_number().over(Window.orderBy("sample_key")) - 1) \
+              .select("sample_idx", "claim_id", *[f"phi_{f}" for f in K.FEATURE_COLS])
+
+
+@register("gbt_global_importance")
+def q_gbt_global_importance(spark, sf_dir):
+    """AGG-5 on the trained model: mean |Tree SHAP| per feature over all claims."""
+    return SH.global_importance(M.tree_shap(spark, sf_dir))
+
+
+@register("gbt_protected_rank")
+def q_gbt_protected_rank(spark, sf_dir):
+    """FAIR-1 on the trained model's attributions."""
+    return WI.protected_rank(M.tree_shap(spark, sf_dir))
