@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .. import constants as K
 from ..functions.mathx import hash_uniform
@@ -59,7 +60,8 @@ def champion(max_iter: int = K.GBT_PARAMS["maxIter"], early_stopping: bool = Fal
     ``early_stopping=True`` watches the validation slice instead.
     """
     p = dict(maxDepth=K.GBT_PARAMS["maxDepth"], stepSize=K.GBT_PARAMS["stepSize"],
-             subsamplingRate=K.GBT_PARAMS["subsamplingRate"], featureSubsetStrategy="0.8", seed=K.SPLIT_SEED)
+             subsamplingRate=K.GBT_PARAMS["subsamplingRate"], featureSubsetStrategy="0.8", seed=K.SPLIT_SEED,
+             cacheNodeIds=True, checkpointInterval=10)
     if early_stopping:
         p.update(validationIndicatorCol="is_val", validationTol=0.0)
     p.update(kw)
@@ -69,7 +71,7 @@ def champion(max_iter: int = K.GBT_PARAMS["maxIter"], early_stopping: bool = Fal
 def challenger(num_trees: int = K.RF_PARAMS["numTrees"], **kw) -> RandomForestClassifier:
     """ML-2: a different ensemble (random forest) with balanced class weights."""
     p = dict(maxDepth=K.RF_PARAMS["maxDepth"], subsamplingRate=K.RF_PARAMS["subsamplingRate"],
-             featureSubsetStrategy="0.8", seed=K.SPLIT_SEED)
+             featureSubsetStrategy="0.8", seed=K.SPLIT_SEED, cacheNodeIds=True, checkpointInterval=10)
     p.update(kw)
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                   numTrees=num_trees, **p)
@@ -82,6 +84,13 @@ class Trained:
     params: dict
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Training makes many passes: spread rows over every core and keep them
+    (memory, spilling to disk) for the duration of the fit."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, "claim_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _class_counts(train: DataFrame) -> tuple[int, int]:
     row = train.agg(F.sum((F.col("denial_label") == 1).cast("long")), F.count(F.lit(1))).first()
     return int(row[0] or 0), int(row[1] or 0)
@@ -96,7 +105,9 @@ def fit_champion(train_frame: DataFrame, max_iter: int = 50, early_stopping: boo
     data = model_input(train.withColumn("weight", F.when(F.col("denial_label") == 1, F.lit(ratio))
                                                    .otherwise(F.lit(1.0))))
     est = champion(max_iter=max_iter, early_stopping=early_stopping)
+    data = _spread(data)
     model = Pipeline(stages=[assembler(), est]).fit(data)
+    data.unpersist()
     params = {"model": "gbt", "maxIter": str(max_iter), "maxDepth": str(est.getMaxDepth()),
               "stepSize": str(est.getStepSize()), "subsamplingRate": str(est.getSubsamplingRate()),
               "scale_pos_weight": f"{ratio:.6f}", "n_trees": str(model.stages[-1].getNumTrees)}
@@ -106,7 +117,9 @@ def fit_champion(train_frame: DataFrame, max_iter: int = 50, early_stopping: boo
 def fit_challenger(train_frame: DataFrame, num_trees: int = 50) -> Trained:
     train = ME.with_class_weight(train_frame.filter((F.col("split") == "train") & ~F.col("is_val")))
     est = challenger(num_trees=num_trees)
-    model = Pipeline(stages=[assembler(), est]).fit(model_input(train))
+    data = _spread(model_input(train))
+    model = Pipeline(stages=[assembler(), est]).fit(data)
+    data.unpersist()
     params = {"model": "random_forest", "numTrees": str(num_trees), "maxDepth": str(est.getMaxDepth()),
               "subsamplingRate": str(est.getSubsamplingRate()), "class_weight": "balanced"}
     return Trained("challenger", model, params)

@@ -193,6 +193,6 @@ def counterfactual_hints(shap: DataFrame, prob: str = "prediction_prob", top_n:
         hint_column(x["feature"])))
     arr = F.when(F.col(prob) > K.DENY_THRESHOLD, hints).otherwise(F.array(F.lit(K.APPROVED_HINT)))
     s = with_once(shap.select("claim_id", prob, *[f"phi_{f}" for f in K.FEATURE_COLS]), shap_structs(), "d")
-    return (s.select("claim_id", F.inline(F.arrays_zip(F.sequence(F.lit(1), F.greatest(F.size(arr), F.lit(1)))
-                                                      .alias("hint_rank"), arr.alias("hint"))))
-             .filter(F.col("hint").isNotNull()).select("claim_id", "hint_rank", "hint"))
+    s = with_once(s.select("claim_id", prob, "d"), arr, "hints")
+    return (s.select("claim_id", F.posexplode("hints").alias("pos", "hint"))
+             .select("claim_id", (F.col("pos") + 1).alias("hint_rank"), "hint"))
