@@ -56,7 +56,9 @@ def prefix_counts(counts: DataFrame, group: str, n_buckets: int = N_BUCKETS) ->
 def roc_auc_ap(df: DataFrame, group: str = "split", score: str = "score",
                label: str = "denial_label") -> DataFrame:
     """Tie-aware ROC AUC (Mann-Whitney) and average precision per group."""
-    counts = score_counts(df, group, score, label)
+    # the distinct-score table feeds three steps (quantiles, prefix sums,
+    # totals): compute it once and cut its lineage with a reliable checkpoint
+    counts = score_counts(df, group, score, label).checkpoint(eager=True)
     pc = prefix_counts(counts, group)
     # one row per group: bounded, broadcast
     tot = counts.groupBy(group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
