@@ -24,7 +24,7 @@ _CACHE: dict[tuple, object] = {}
 
 
 def _key(spark, sf_dir, what):
-    return (id(spark), sf_dir, what)
+    return (spark.sparkContext.applicationId, sf_dir, what)
 
 
 def model_dir(spark: SparkSession, sf_dir: str, name: str) -> str:

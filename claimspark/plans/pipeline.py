@@ -19,7 +19,7 @@ from ..operators import ingest, label, survey
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
 
-_INTERCEPTS: dict[tuple[int, str], float] = {}
+_INTERCEPTS: dict[tuple[str, str], float] = {}
 
 
 def clean_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def claims_raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.claims_raw(fixtures.raw_claims(spark, sf_dir), fixtures.raw_bene(spark, sf_dir))
 
 
-_TABLES: dict[tuple[int, str, str], str] = {}
+_TABLES: dict[tuple[str, str, str], str] = {}
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -45,7 +45,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     executor recomputes from the written files, not from the raw inputs, and
     every later query scans a columnar table with pruning and pushdown.
     """
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
         root = ensure_checkpoint_dir(spark).rstrip("/")
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
@@ -66,7 +66,7 @@ def survey_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intercept(spark: SparkSession, sf_dir: str) -> float:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INTERCEPTS:
         _INTERCEPTS[key] = label.intercept_of(survey_rates(spark, sf_dir))
     return _INTERCEPTS[key]
@@ -89,11 +89,11 @@ def claims_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*FEATURE_TABLE_COLUMNS)
 
 
-_MEANS: dict[tuple[int, str], dict] = {}
+_MEANS: dict[tuple[str, str], dict] = {}
 
 
 def background_means(spark: SparkSession, sf_dir: str) -> dict:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MEANS:
         from ..operators.shap import background_means as bm
         _MEANS[key] = bm(claims_features(spark, sf_dir))
