@@ -673,3 +673,21 @@ def q_gbt_global_importance(spark, sf_dir):
 def q_gbt_protected_rank(spark, sf_dir):
     """FAIR-1 on the trained model's attributions."""
     return WI.protected_rank(M.tree_shap(spark, sf_dir))
+
+
+@register("tree_shap_drivers")
+def q_tree_shap_drivers(spark, sf_dir):
+    """WIN-2 on the trained model: top-10 Tree SHAP drivers per claim."""
+    return SH.top_drivers(M.tree_shap(spark, sf_dir), k=10)
+
+
+@register("tree_shap_waterfall")
+def q_tree_shap_waterfall(spark, sf_dir):
+    """WIN-4 on the trained model."""
+    return SH.waterfall(M.tree_shap(spark, sf_dir))
+
+
+@register("model_hints")
+def q_model_hints(spark, sf_dir):
+    """XAI-4 on the trained model: corrective hints for claims it would deny."""
+    return SH.counterfactual_hints(M.tree_shap(spark, sf_dir))

@@ -45,3 +45,19 @@ def test_claim_rules(spark):
     got = [(r.is_valid, r.violations) for r in DQ.with_claim_violations(df).collect()]
     assert got[0] == (False, "los_days_range,claim_month_range,bene_age_range")
     assert got[1] == (True, "") and got[2] == (True, "")
+
+
+def test_optional_table(spark):
+    from claimspark.sources.files import optional_table
+    df = optional_table(spark, "/tmp/claimspark-does-not-exist-xyz", "feature string, mean_abs_shap double")
+    assert df.count() == 0 and df.columns == ["feature", "mean_abs_shap"]
+
+
+def test_model_side_tables(spark, sf_small):
+    import __spark_entry__ as E
+    q = E.queries()
+    n = q["tree_shap"](spark, sf_small).count()
+    assert q["tree_shap_drivers"](spark, sf_small).count() == 10 * n
+    assert q["tree_shap_waterfall"](spark, sf_small).count() == 15 * n
+    runs = q["champion_challenger"](spark, sf_small).collect()
+    assert {r.metric for r in runs} >= {"test_auc_roc", "train_auc_roc"}
