@@ -29,10 +29,13 @@ RUNS_SCHEMA = ("run_name string, model string, params map<string,string>, metric
                "artifact string, created_at timestamp")
 
 
-def model_input(df: DataFrame, label: str | None = "denial_label") -> DataFrame:
-    """ARR-2: 36 features in contract order, null -> sentinel, as doubles."""
+def model_input(df: DataFrame, label: str | None = "denial_label", carry: tuple[str, ...] = ()) -> DataFrame:
+    """ARR-2: 36 features in contract order, null -> sentinel, as doubles.
+
+    ``carry`` keeps extra input columns alongside (so later steps need no join).
+    """
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(K.MISSING_SENTINEL)).alias(f"x_{c}") for c in K.FEATURE_COLS]
-    keep = [c for c in ("claim_id", "bene_id", "split", "is_val", "weight") if c in df.columns]
+    keep = [c for c in ("claim_id", "bene_id", "split", "is_val", "weight", *carry) if c in df.columns]
     if label and label in df.columns:
         keep.append(F.col(label).cast("double").alias("label"))
     return df.select(*keep, *cols)
@@ -88,7 +91,10 @@ def _spread(df: DataFrame) -> DataFrame:
     """Training makes many passes: spread rows over every core and keep them
     (memory, spilling to disk) for the duration of the fit."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, "claim_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # bagging samples rows in partition order: fix the order so a rerun (or a
+    # recomputed partition) trains the same model
+    return (df.repartition(n, "claim_id").sortWithinPartitions("claim_id")
+              .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _class_counts(train: DataFrame) -> tuple[int, int]:
@@ -133,6 +139,13 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     return ME.decisions(out)
 
 
+def flagged(model: PipelineModel, features: DataFrame, threshold: float = K.DENY_THRESHOLD) -> DataFrame:
+    """Claims the model would deny, with their raw feature values (no join back)."""
+    scored = model.transform(model_input(features, label=None, carry=tuple(K.FEATURE_COLS)))
+    return (scored.filter(vector_to_array("probability")[1] > threshold)
+                  .select("claim_id", *K.FEATURE_COLS))
+
+
 def evaluate(model: PipelineModel, labelled: DataFrame) -> DataFrame:
     """ML-3: metrics per split (train/test) for one model."""
     scored = score(model, labelled).join(labelled.select("claim_id", "denial_label"), "claim_id")

@@ -107,7 +107,7 @@ def shap_values(leaves: list[tuple], base: float, X: np.ndarray, tables: list[tu
     return phi
 
 
-OUT_SCHEMA = ("claim_id string, base_value double, log_odds double, prediction_prob double, "
+OUT_SCHEMA = ("claim_id string, bene_id string, base_value double, log_odds double, prediction_prob double, "
               + ", ".join(f"phi_{f} double" for f in K.FEATURE_COLS))
 
 
@@ -126,9 +126,10 @@ def tree_shap(features: DataFrame, t: TreeArrays) -> DataFrame:
             out.insert(0, "prediction_prob", 1.0 / (1.0 + np.exp(-lo)))
             out.insert(0, "log_odds", lo)
             out.insert(0, "base_value", base)
+            out.insert(0, "bene_id", pdf["bene_id"].to_numpy())
             out.insert(0, "claim_id", pdf["claim_id"].to_numpy())
             yield out
 
-    src = model_input(features, label=None).select("claim_id", *xcols)
+    src = model_input(features, label=None).select("claim_id", "bene_id", *xcols)
     parts = max(src.sparkSession.sparkContext.defaultParallelism * 2, 1)
     return src.repartition(parts, "claim_id").mapInPandas(run, OUT_SCHEMA)

@@ -76,8 +76,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = P.claims_features(spark, sf_dir)
-    return TS.tree_shap(f, tree_arrays(spark, sf_dir)).join(f.select("claim_id", "bene_id"), "claim_id")
+    return TS.tree_shap(P.claims_features(spark, sf_dir), tree_arrays(spark, sf_dir))
 
 
 def lime_profile(spark: SparkSession, sf_dir: str) -> dict:
@@ -90,8 +89,7 @@ def lime_profile(spark: SparkSession, sf_dir: str) -> dict:
 
 def flagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims the letters explain with LIME: model probability > 0.5."""
-    s = gbt_score(spark, sf_dir).filter(F.col("prediction_prob") > K.DENY_THRESHOLD).select("claim_id")
-    return P.claims_features(spark, sf_dir).join(s, "claim_id", "left_semi")
+    return MD.flagged(trained(spark, sf_dir, "champion").model, P.claims_features(spark, sf_dir))
 
 
 def lime_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
