@@ -17,13 +17,24 @@ def sample_key(key: str = "claim_id", seed: int = K.SPLIT_SEED):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-def uniform_sample(df: DataFrame, n: int, key: str = "claim_id", seed: int = K.SPLIT_SEED) -> DataFrame:
-    """SMP-1: exactly ``n`` rows without replacement, partition-independent.
-
-    ``orderBy(..).limit(n)`` plans as a per-partition top-n then a merge of
-    at most n rows per partition: n is the sampling parameter, not the data.
+def uniform_sample(df: DataFrame, n: int, key: str = "claim_id", seed: int = K.SPLIT_SEED,
+                   oversample: float = 4.0) -> DataFrame:
+    """SMP-1: exactly the ``n`` rows with the smallest md5(key|seed), any partitioning.
+
+    A plain ``orderBy(..).limit(n)`` merges n rows from every input partition
+    in one task, which grows with the partition count. The sort key's first 8
+    hex digits are the row's uniform draw u, so ``u < t`` keeps exactly the
+    smallest keys: filter to about ``oversample * n`` candidates first, then
+    sort those. If too few survive (very unlikely), fall back to the full sort.
     """
-    return df.withColumn("sample_key", sample_key(key, seed)).orderBy("sample_key").limit(n)
+    keyed = df.withColumn("sample_key", sample_key(key, seed))
+    total = df.count()
+    if total > n:
+        t = min(1.0, oversample * n / total)
+        cand = keyed.filter(hash_uniform(F.col(key), seed) < t)
+        if cand.count() >= n:
+            return cand.orderBy("sample_key").limit(n)
+    return keyed.orderBy("sample_key").limit(n)
 
 
 def split_column(key: str = "claim_id", test_fraction: float = K.TEST_FRACTION,

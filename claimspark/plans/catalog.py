@@ -654,13 +654,17 @@ def q_audit_from_requests(spark, sf_dir):
 
 @register("shap_global_sample")
 def q_shap_global_sample(spark, sf_dir):
-    """XAI-1: Tree SHAP on a 2,000-claim uniform sample, with its sample index."""
-    ts = M.tree_shap(spark, sf_dir)
-    smp = SM.uniform_sample(ts, K.SHAP_SAMPLE_SIZE, seed="shap-42")
-    # rank within the (bounded) sample: the sample has at most 2,000 rows
+    """XAI-1: Tree SHAP on a 2,000-claim uniform sample, with its sample index.
+
+    Claims are sampled first, so only the sampled rows are explained."""
     from pyspark.sql import Window
-    return smp.withColumn("sample_idx", F.row_number().over(Window.orderBy("sample_key")) - 1) \
-              .select("sample_idx", "claim_id", *[f"phi_{f}" for f in K.FEATURE_COLS])
+    from ..operators import treeshap as TS
+    smp = SM.uniform_sample(P.claims_features(spark, sf_dir), K.SHAP_SAMPLE_SIZE, seed="shap-42")
+    # index within the sample: at most 2,000 rows in this window
+    smp = smp.withColumn("sample_idx", F.row_number().over(Window.orderBy("sample_key")) - 1)
+    ts = TS.tree_shap(smp, M.tree_arrays(spark, sf_dir))
+    return ts.join(smp.select("claim_id", "sample_idx"), "claim_id") \
+             .select("sample_idx", "claim_id", *[f"phi_{f}" for f in K.FEATURE_COLS])
 
 
 @register("gbt_global_importance")
