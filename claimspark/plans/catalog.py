@@ -695,3 +695,11 @@ def q_tree_shap_waterfall(spark, sf_dir):
 def q_model_hints(spark, sf_dir):
     """XAI-4 on the trained model: corrective hints for claims it would deny."""
     return SH.counterfactual_hints(M.tree_shap(spark, sf_dir))
+
+
+@register("model_what_if")
+def q_model_what_if(spark, sf_dir):
+    """XAI-8 on the trained model: claims without prior auth, rescored with it."""
+    from ..operators import treeshap as TS
+    f = P.claims_features(spark, sf_dir).filter(F.col("prior_auth_present") == 0)
+    return TS.what_if(f, M.tree_arrays(spark, sf_dir), WI.PRIOR_AUTH_FIX)

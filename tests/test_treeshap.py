@@ -63,3 +63,15 @@ def test_trained_model_additivity(spark, sf_small):
     scored = M.gbt_score(spark, sf_small).select("claim_id", F.col("prediction_prob").alias("p_model"))
     d = ts.join(scored, "claim_id").select(F.max(F.abs(F.col("prediction_prob") - F.col("p_model")))).first()[0]
     assert d < 1e-9
+
+
+def test_model_what_if_consistent(spark, sf_small):
+    from pyspark.sql import functions as F
+    from claimspark.plans import models as M
+    import __spark_entry__ as E
+    wi = E.queries()["model_what_if"](spark, sf_small)
+    scored = M.gbt_score(spark, sf_small).select("claim_id", F.col("prediction_prob").alias("p"))
+    d = wi.join(scored, "claim_id").select(F.max(F.abs(F.col("prob_original") - F.col("p")))).first()[0]
+    assert d < 1e-9
+    r = wi.agg(F.max(F.abs(F.col("abs_change") - (F.col("prob_original") - F.col("prob_corrected"))))).first()[0]
+    assert r < 1e-12
