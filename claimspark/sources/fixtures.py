@@ -89,10 +89,19 @@ def load_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Tables are passed as DataFrame parameters, so no global view names are
     created and two scale factors can share one session.
     """
-    frames = {t: spark.read.parquet(table_path(sf_dir, t)) for t in _INPUTS[name]}
+    frames = {t: spread_small(spark.read.parquet(table_path(sf_dir, t))) for t in _INPUTS[name]}
     return spark.sql(_spark_text(name), **frames)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Input-partition guard: a table stored as one small file scans as one
+    partition, which would run every later narrow step in a single task.
+    Spread it only when it has fewer partitions than the cluster has cores;
+    large multi-file inputs (the 100 TB case) pass through untouched."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_raw(spark, sf_dir, "raw_claims")
 
