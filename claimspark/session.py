@@ -72,7 +72,12 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="claimspark-pyfiles-"), "claimspark.zip")
+    # next to the job's other files when the shared folder is a mounted path;
+    # otherwise a driver-side file, which Spark serves to executors itself
+    ck = ensure_checkpoint_dir(spark)
+    local = ck[len("file:"):] if ck.startswith("file:") else ck
+    base = local if local.startswith("/") and os.path.isdir(local) else tempfile.mkdtemp(prefix="claimspark-pyfiles-")
+    out = os.path.join(base, f"claimspark-{app}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _, files in os.walk(pkg):
             for f in files:
