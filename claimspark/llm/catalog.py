@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import exact_dedup, packing, token_files
 from .common import table
 
 
@@ -24,5 +24,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_token_files)}
-ORACLES: dict[str, str] = {}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts are equal but for white space."""
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER g AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER g = 1 AS kept,
+       sha256(norm) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_exact_dedup, op10_token_files)}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}

@@ -1,21 +1,24 @@
 """Token ids of whole texts by a public tokenizer file, with a memory of chunks.
 
 A byte-level BPE never merges across the border before a single space (or
-around a single line feed) that stands between visible characters, so the ids
-of a text are the ids of its chunks put together. Each distinct chunk goes to
-the tokenizers library once per worker memory; ``tests/llm`` compares whole
-texts with the library.
+around a single line feed) that stands between visible characters, nor between
+letters and the punctuation after them, so the ids of a text are the ids of its
+chunks put together. Arrow splits the texts and numbers the distinct chunks of
+a slice; each distinct chunk goes to the tokenizers library once per worker
+memory. Texts with other white space or control characters go to the library
+whole. ``tests/llm`` compares the ids with the library's.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space between two characters that no Unicode table counts as white space.
-_SAFE_SPACE = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+#: Punctuation that is looked up apart from the letters before it.
+_TAIL = ".,;:!?"
 
 
 class Encoder:
@@ -25,60 +28,79 @@ class Encoder:
     chunks remembered; beyond it the memory is emptied, which changes no id.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task: Spark spreads the work
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.limit = limit
-        self.first: dict[str, bytes] = {}  # chunk at the start of a line
-        self.after: dict[str, bytes] = {}  # chunk after a space
+        self.memory: dict[str, bytes] = {}  # chunk -> ids; a chunk that starts with a line feed had no space before it
         self.feed = self._whole(["\n"])[0]
         self.feed_id = int.from_bytes(self.feed, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        """Encode new chunks, a thousand to a text, with line feeds between them."""
-        odd = [c for c in chunks if not c or not c.isprintable() or len(self.feed) != 4]
-        if odd:
-            memory.update(zip(odd, self._whole([lead + c for c in odd])))
-            chunks = [c for c in chunks if c not in memory]
-        groups = [chunks[i:i + 1000] for i in range(0, len(chunks), 1000)]
-        sep = "\n" + lead
-        joined = self.library.encode_batch_fast([lead + sep.join(g) for g in groups], add_special_tokens=False)
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks: a thousand to a text, with line feeds between them."""
+        feed, memory = self.feed, self.memory
+        plain = [c for c in chunks if c.isprintable() and c]
+        odd = [c for c in chunks if not c or not c.isprintable()]
+        groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
+        joined = self.library.encode_batch_fast([" " + "\n ".join(g) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, joined):
             ids = np.array(e.ids, "<u4")
             ends = (4 * np.flatnonzero(ids == self.feed_id)).tolist()
             data = ids.tobytes()
-            starts = [0, *(x + 4 for x in ends)]
-            memory.update(zip(group, map(data.__getitem__, map(slice, starts, [*ends, len(data)]))))
+            memory.update(zip(group, map(data.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(data)]))))
+        memory.update(zip(odd, [feed + x if c else x for c, x in zip(odd, self._whole([c[1:] if c else " " for c in odd]))]))
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        memory, feed = self.memory, len(self.feed)
+        if len(memory) > self.limit:
+            memory.clear()
+        found = list(map(memory.get, chunks))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            wanted = [chunks[k] for k in gaps]
+            words = [w if w.isalpha() else c for c, w in zip(wanted, [c.rstrip(_TAIL) for c in wanted])]
+            tails = {c[len(w):] for c, w in zip(wanted, words)} - {""}
+            new = set(words).union(["\n" + t for t in tails])
+            self._learn([x for x in new if x not in memory])
+            # a tail's ids stand after its line feed's
+            after = {"": b""} | {t: memory["\n" + t][feed:] for t in tails}
+            for k, c, w in zip(gaps, wanted, words):
+                found[k] = memory[w] + after[c[len(w):]]
+        return found
 
     @staticmethod
-    def _lines(text: str) -> list[list[str]]:
-        """Chunks by line; a single line if white space stands in a way that needs care."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
-            return [_SAFE_SPACE.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
+    def _plain(text: str) -> bool:
+        """White space is single spaces and line feeds between visible characters."""
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and text.replace("\n", "").isprintable()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.after) > self.limit:
-            self.first.clear()
-            self.after.clear()
-        lines = [self._lines(t) for t in texts]
-        heads = {line[0] for text in lines for line in text}
-        self._learn(self.first, [c for c in heads if c not in self.first], "")
-        found = [[list(map(self.after.get, line[1:])) for line in text] for text in lines]
-        gaps = [(ids, line) for text, got in zip(lines, found) for line, ids in zip(text, got) if None in ids]
-        if gaps:
-            new = {c for ids, line in gaps for c, x in zip(line[1:], ids) if x is None}
-            self._learn(self.after, list(new), " ")
-            for ids, line in gaps:
-                ids[:] = [self.after[c] if x is None else x for c, x in zip(line[1:], ids)]
-        return [self.feed.join([self.first[line[0]] + b"".join(ids) for line, ids in zip(text, got)])
-                for text, got in zip(lines, found)]
+        plain = [k for k, t in enumerate(texts) if self._plain(t)]
+        out: list = [None] * len(texts)
+        whole = sorted(set(range(len(texts))) - set(plain))
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+            out[k] = ids
+        if plain:
+            # each text starts with a line feed of its own, whose id is dropped again
+            lists = pc.split_pattern(pa.array(["\n" + texts[k].replace("\n", " \n") for k in plain], pa.large_string()), " ")
+            chunks = lists.flatten().dictionary_encode()
+            ids = self._ids(chunks.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            values, index = np.frombuffer(b"".join(ids), "<u4"), chunks.indices.to_numpy()
+            n = sizes[index]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            place = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], n) + np.arange(ends[-1])
+            data = values[place].tobytes()
+            bounds = (4 * ends[lists.offsets.to_numpy()]).tolist()
+            for k, a, b in zip(plain, bounds, bounds[1:]):
+                out[k] = data[a + len(self.feed):b]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -91,7 +113,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_in_slices(path: str, texts: list, chars: int = 1_000_000):
+def encode_in_slices(path: str, texts: list, chars: int = 8_000_000):
     """Yield (position, ids) of each text (null: empty), about ``chars`` characters at a time."""
     enc, at = encoder(path), 0
     while at < len(texts):
