@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, licenses, mixing, packing, secret_scan, token_files
 from .common import table
 
 
@@ -24,6 +24,106 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents by source weights takes of each."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+# The quotas are listed quotient by quotient and the words are counted block by
+# block here, where the DataFrame code bounds the quotients and sums in the row.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs,
+         row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((sid - 1) % 3 + 1)::INT] AS weight FROM s),
+fill(step, capped, done) AS (
+  SELECT 0, []::BIGINT[], false
+  UNION ALL
+  SELECT step + 1, next.capped, len(next.capped) = len(f.capped)
+  FROM fill f, LATERAL (
+    SELECT list(sid) AS capped FROM w, (
+      SELECT (sum(source_size) - sum(CASE WHEN list_contains(f.capped, sid) THEN 3 * source_size ELSE 0 END))
+             / nullif(sum(CASE WHEN list_contains(f.capped, sid) THEN 0 ELSE weight END), 0) AS level FROM w) l
+    WHERE list_contains(f.capped, sid) OR 3 * source_size <= weight * coalesce(level, 0)) n(capped_list),
+    LATERAL (SELECT coalesce(n.capped_list, []) AS capped) next
+  WHERE NOT f.done),
+last AS (SELECT capped FROM fill ORDER BY step DESC LIMIT 1),
+lv AS (
+  SELECT (SELECT capped FROM last) AS capped,
+         (sum(source_size) - sum(CASE WHEN list_contains((SELECT capped FROM last), sid) THEN 3 * source_size ELSE 0 END))
+         / nullif(sum(CASE WHEN list_contains((SELECT capped FROM last), sid) THEN 0 ELSE weight END), 0) AS level FROM w),
+t AS (SELECT w.*, CASE WHEN list_contains(capped, sid) THEN 3.0 * source_size ELSE weight * level END::DOUBLE AS target FROM w, lv),
+k AS (
+  SELECT greatest(least(8, greatest(1, sum(source_size) // 1000000)),
+                  least(1024, floor(coalesce(min(target) FILTER (target > 0), 1) / 64)))::BIGINT AS b,
+         sum(source_size)::BIGINT AS total FROM t),
+q AS (
+  SELECT sid, row_number() OVER (ORDER BY target / (2 * n + 1) DESC, sid) AS place
+  FROM t, k, range(0, (3 * source_size // b + 3)::BIGINT) r(n) WHERE target > 0),
+sq AS (
+  SELECT t.*, (SELECT count(*) FROM q, k WHERE q.sid = t.sid AND place <= (total + b // 2) // b) AS blocks, ceil(docs / 2000)::BIGINT AS shards FROM t),
+r AS (
+  SELECT d.doc_id, d.size, sq.* EXCLUDE (source), ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size), 1, 15))::BIGINT AS h
+  FROM d JOIN sq ON d.source IS NOT DISTINCT FROM sq.source),
+rs AS (SELECT *, h % shards AS shard FROM r),
+c AS (SELECT sid, shard, sum(size)::BIGINT AS cell, any_value(blocks) AS blocks FROM rs GROUP BY sid, shard),
+cq AS (
+  SELECT sid, shard, row_number() OVER (PARTITION BY sid ORDER BY cell::DOUBLE / (2 * n + 1) DESC, shard) AS place, blocks
+  FROM c, range(0, (blocks + 1)::BIGINT) r(n) WHERE cell > 0),
+cells AS (
+  SELECT c.sid, c.shard, c.cell, least(b * (SELECT count(*) FROM cq WHERE cq.sid = c.sid AND cq.shard = c.shard AND place <= cq.blocks), 3 * cell) AS words
+  FROM c, k),
+p AS (
+  SELECT rs.*, cell, words, b, words // nullif(cell, 0) AS passes, words % nullif(cell, 0) AS rest, cell // b AS whole,
+         coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low
+  FROM rs JOIN cells USING (sid, shard), k),
+blk AS (
+  SELECT p.*, n, CASE WHEN n < whole THEN (n * 2147483647 + sid * 7919 + shard * 104729 + 42) % greatest(whole, 1) ELSE whole END AS place
+  FROM p, range(0, coalesce((SELECT max(cell // b) FROM p), 0)::BIGINT + 1) g(n) WHERE size > 0 AND n BETWEEN low // b AND (low + size - 1) // b),
+cov AS (
+  SELECT doc_id, size, sid, low, shard, sum(greatest(0, least(low + size, n * b + CASE WHEN place < rest // b THEN b WHEN place = rest // b THEN rest % b ELSE 0 END) - greatest(low, n * b)))::BIGINT AS covered
+  FROM blk GROUP BY ALL)
+SELECT p.doc_id, p.size, source_size, round(target, 6) AS target, CASE WHEN p.size = 0 THEN 0 ELSE passes * p.size + coalesce(covered, 0) END::BIGINT AS taken, blocks
+FROM p LEFT JOIN cov ON p.doc_id IS NOT DISTINCT FROM cov.doc_id AND p.size = cov.size AND p.sid = cov.sid AND p.shard = cov.shard AND p.low = cov.low
+"""
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, with the corpus-wide ownership of their values."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _span_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT rid, {number} AS number, '{kind}' AS kind, value, pos - length(hit) AS start, pos AS "end" FROM (
+    SELECT rid, hit, value, (sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY rid ORDER BY i))::BIGINT AS pos FROM (
+      SELECT rid, unnest(string_split_regex(t, '{quoted}')) AS gap, unnest(regexp_extract_all(t, '{quoted}')) AS hit,
+             unnest(regexp_extract_all(t, '{quoted}', {group})) AS value, generate_subscripts(string_split_regex(t, '{quoted}'), 1) AS i
+      FROM d WHERE regexp_matches(t, '{quoted}')))
+  WHERE hit IS NOT NULL AND length(value) >= {least}"""
+
+
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_span_sql(n, *k) for n, k in enumerate(secret_scan.KINDS))}),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM f JOIN d USING (rid) GROUP BY value),
+j AS (SELECT f.*, owners, repositories, owners <= 1 AND len(list_distinct(regexp_extract_all(value, '.'))) >= {secret_scan.LIVE_CHARACTERS} AS live FROM f JOIN o USING (value)),
+a AS (
+  SELECT rid, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, number) FILTER (number < 3) AS base,
+         string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, number) FILTER (number < 3 OR live) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (owners > 1) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories
+  FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal but for white space."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -42,5 +142,37 @@ SELECT doc_id,
 FROM d WINDOW g AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_exact_dedup, op10_token_files)}
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every text."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+_TEMPLATES = ", ".join(f"('{name}', {licenses.template_bigrams(text)!r})" for name, text in licenses.NOTICES)
+OP7_SQL = rf"""
+WITH t(license, own) AS (VALUES {_TEMPLATES}),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         trim(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}'), '{licenses.END}', chr(10), 'g'), '[^a-z0-9
+]+', ' ', 'g'), ' ') AS clean
+  FROM documents),
+u AS (SELECT rid, doc_id, clean, list_filter(string_split_regex(clean, ' ?
+ ?'), lambda x: x <> '') AS units FROM d),
+v AS (
+  SELECT rid, unnest(units) AS unit FROM u
+  UNION ALL SELECT rid, trim(regexp_replace(clean, '[ 
+]+', ' ', 'g'), ' ') FROM u WHERE len(units) > 1),
+w AS (SELECT rid, row_number() OVER () AS uid, string_split(unit, ' ') AS words FROM v),
+g AS (SELECT rid, uid, list_distinct(list_transform(list_zip(words[:-2], words[2:]), lambda p: p[1] || ' ' || p[2])) AS grams FROM w WHERE len(words) > 1),
+h AS (SELECT rid, uid, license, round(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own)), 6) AS dice FROM g, t WHERE list_has_any(grams, own)),
+k AS (SELECT * FROM h WHERE dice >= {licenses.THRESHOLD}),
+a AS (
+  SELECT rid, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT uid) AS n_notices
+  FROM k GROUP BY rid)
+SELECT doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS licenses, coalesce(n_notices, 0) AS n_notices FROM d LEFT JOIN a USING (rid)
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_mix_sources, op4_secret_scan, op6_exact_dedup, op7_license_scan, op10_token_files)}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": OP2_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
