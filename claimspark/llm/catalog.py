@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, packing, secret_scan, token_files
+from . import exact_dedup, licenses, maxscore, mixing, packing, secret_scan, token_files
 from .common import table
 
 
@@ -90,6 +90,26 @@ FROM p LEFT JOIN cov ON p.doc_id IS NOT DISTINCT FROM cov.doc_id AND p.size = co
 """
 
 
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all vectors for every vector whose id is divisible by 100."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY ints) AS copy, ints FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS ints FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+s AS (
+  SELECT q.vec_id AS query_id, q.copy AS query_copy, c.vec_id, c.copy, list_inner_product(q.ints, c.ints)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND (q.vec_id IS DISTINCT FROM c.vec_id OR q.copy <> c.copy))
+SELECT * EXCLUDE (copy) FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id, query_copy ORDER BY score DESC, vec_id NULLS LAST, copy))::INT AS rank,
+         vec_id, copy, score, query_copy::INT AS query_copy FROM s)
+WHERE rank <= 10
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text, with the corpus-wide ownership of their values."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -173,6 +193,6 @@ SELECT doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS lic
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_mix_sources, op4_secret_scan, op6_exact_dedup, op7_license_scan, op10_token_files)}
+    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op6_exact_dedup, op7_license_scan, op10_token_files)}
 ORACLES: dict[str, str] = {
-    "op2_mix_sources": OP2_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
+    "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
