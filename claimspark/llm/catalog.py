@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, maxscore, mixing, packing, secret_scan, token_files
+from . import exact_dedup, licenses, maxscore, mixing, packing, secret_scan, token_files, toxicity
 from .common import table
 
 
@@ -144,6 +144,12 @@ FROM d LEFT JOIN a USING (rid)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal but for white space."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -193,6 +199,6 @@ SELECT doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS lic
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op6_exact_dedup, op7_license_scan, op10_token_files)}
+    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op10_token_files)}
 ORACLES: dict[str, str] = {
     "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
