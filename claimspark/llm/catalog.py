@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, maxscore, mixing, packing, secret_scan, token_files, toxicity
+from . import exact_dedup, jaccard_join, licenses, maxscore, mixing, packing, secret_scan, token_files, toxicity
 from .common import table
 
 
@@ -173,6 +173,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their 3-word shingles."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 _TEMPLATES = ", ".join(f"('{name}', {licenses.template_bigrams(text)!r})" for name, text in licenses.NOTICES)
 OP7_SQL = rf"""
 WITH t(license, own) AS (VALUES {_TEMPLATES}),
@@ -199,6 +204,6 @@ SELECT doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS lic
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op10_token_files)}
+    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op10_token_files)}
 ORACLES: dict[str, str] = {
     "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
