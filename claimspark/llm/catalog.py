@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, licenses, maxscore, mixing, packing, secret_scan, token_files, toxicity
+from . import exact_dedup, jaccard_join, licenses, maxscore, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
 from .common import table
 
 
@@ -178,6 +178,27 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that stand earlier."""
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20)
+
+
+OP9_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, i, array_to_string(w[i:i + 19], ' ') AS win FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i)),
+f AS (SELECT rid, i, row_number() OVER (PARTITION BY win ORDER BY rid, i) > 1 AS again FROM s),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+c AS (
+  SELECT x.rid, x.i, word, coalesce(x.i - max(CASE WHEN again THEN x.i END) OVER (PARTITION BY x.rid ORDER BY x.i) < 20, false) AS gone
+  FROM x LEFT JOIN f ON x.rid = f.rid AND x.i = f.i),
+k AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+
 _TEMPLATES = ", ".join(f"('{name}', {licenses.template_bigrams(text)!r})" for name, text in licenses.NOTICES)
 OP7_SQL = rf"""
 WITH t(license, own) AS (VALUES {_TEMPLATES}),
@@ -204,6 +225,7 @@ SELECT doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS lic
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op10_token_files)}
+    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op9_substring_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {
-    "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL}
+    "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL}
