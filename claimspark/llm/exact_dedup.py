@@ -79,3 +79,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 1) & F.col("clash").isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that ``exact_dedup`` doesn't keep."""
+    digest = F.unhex(F.sha2(normalised(F.col("doc.text").cast("string")), 256))
+    rows = docs.select(F.struct("*").alias("doc")).select(
+        "doc", F.col("doc.doc_id").cast("long").alias("id"), digest.alias("of"), F.length(F.coalesce(F.col("doc.text").cast("string"), F.lit(""))).alias("chars"))
+    winners = groups(docs).select("digest", _rank_id(F.col("best")).alias("keep_id"), "clash")
+    found = rows.join(winners, (rows["of"] == winners["digest"]) & rows["id"].eqNullSafe(winners["keep_id"])).filter("clash IS NULL")
+    copy = F.row_number().over(Window.partitionBy("of", "id").orderBy(F.desc("chars")))
+    return found.withColumn("copy", copy).filter("copy = 1").select("doc.*")

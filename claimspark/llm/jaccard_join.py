@@ -75,7 +75,7 @@ def _emitted(members: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
 
 
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, node, counted, members`` of every document; equal sets of one task emit members once."""
+    """``doc_id, digest, n, node, counted, members`` of every document; equal sets of one task emit members once."""
     def run(batches):
         seen = set()
         for batch in batches:
@@ -95,11 +95,11 @@ def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             flat = np.concatenate([np.empty(0, np.int64), *lists])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "n", "node", "counted", "members"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "digest", "n", "node", "counted", "members"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, n long, node long, counted long, members array<long>")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
+    return source.mapInArrow(run, "doc_id long, digest long, n long, node long, counted long, members array<long>")
 
 
 def shared_prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _families(entries: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, family_members: int = FAMILY_MEMBERS) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+    """One row per document: ``doc_id, n_shingles, component_id``, and ``component, digest`` of set and text.
 
     Documents link when 100 * |shared| >= percent * |union| of their shingle
     sets; ``component_id`` is the smallest id that links lead to. Documents
@@ -222,6 +222,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, famil
     found = components(links).select(F.col("node").alias("of"), "component")
     named = nodes.select("node", "least_id").join(found, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    names = named.join(least, "component").select(F.col("node").alias("of"), "component_id")
-    return sets.select("doc_id", "n", "node").join(names, F.col("node") == F.col("of"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = named.join(least, "component").select(F.col("node").alias("of"), "component_id", "component")
+    return sets.select("doc_id", "digest", "n", "node").join(names, F.col("node") == F.col("of"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component", "digest")
+
+
+def keep_one(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """``docs``, all columns, with one row of each component: the smallest id's (then the smallest text digest's).
+
+    Rows without words all stay.
+    """
+    rows = write_shared(jaccard_components(docs, width, percent), "components")
+    first = rows.filter("component IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"))
+    kept = first.select("first.doc_id", "first.digest", F.lit(True).alias("words")).unionByName(
+        rows.filter("component IS NULL").select("doc_id", "digest", F.lit(False).alias("words")).distinct())
+    kept = kept.withColumnsRenamed({"doc_id": "of", "digest": "of_digest"})
+    source = docs.select(F.struct("*").alias("doc")).select(
+        "doc", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc.text").cast("string")).alias("digest"))
+    found = source.join(kept, source["id"].eqNullSafe(kept["of"]) & (source["digest"] == kept["of_digest"]))
+    copy = F.row_number().over(Window.partitionBy("id", "digest").orderBy("words"))
+    return found.withColumn("copy", copy).filter("copy = 1 OR NOT words").select("doc.*")

@@ -209,3 +209,20 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.3)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``; a narrow pass."""
+    scores, bias = bucket_scores(model)
+    limit = float(np.log(threshold / (1 - threshold))) - bias
+
+    def run(batches):
+        memory = WordScores(scores)
+        for batch in batches:
+            stays = []
+            for text in batch.column(batch.schema.names.index("text")):
+                words = words_of(text.as_py())
+                stays.append(sum(map(memory.__getitem__, words)) / max(len(words), LEAST_WORDS) < limit)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
