@@ -66,9 +66,9 @@ def roc_auc_ap(df: DataFrame, group: str = "split", score: str = "score",
     pos_above = F.col("P") - F.col("pos_below")
     neg_above = F.col("N") - F.col("neg_below")
     return (pc.groupBy(group).agg(
-        (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))) /
-         (F.first("P") * F.first("N"))).alias("auc"),
-        (F.sum(F.col("pos") * pos_above / (pos_above + neg_above)) / F.first("P")).alias("ap"))
+        # null where a group has one class only
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))), F.first("P") * F.first("N")).alias("auc"),
+        F.try_divide(F.sum(F.try_divide(F.col("pos") * pos_above, pos_above + neg_above)), F.first("P")).alias("ap"))
         .select(group, F.round("auc", 4).alias("auc_roc"), F.round("ap", 4).alias("avg_precision")))
 
 
@@ -104,9 +104,9 @@ def class_weights(df: DataFrame, label: str = "denial_label") -> DataFrame:
     agg = df.agg(F.sum((y == 1).cast("long")).alias("n_pos"), F.sum((y == 0).cast("long")).alias("n_neg"))
     n = F.col("n_pos") + F.col("n_neg")
     return agg.select("n_pos", "n_neg",
-                      F.round(F.col("n_neg") / F.col("n_pos"), 6).alias("scale_pos_weight"),
-                      F.round(n / (2 * F.col("n_pos")), 6).alias("weight_pos"),
-                      F.round(n / (2 * F.col("n_neg")), 6).alias("weight_neg"))
+                      F.round(F.try_divide("n_neg", "n_pos"), 6).alias("scale_pos_weight"),
+                      F.round(F.try_divide(n, 2 * F.col("n_pos")), 6).alias("weight_pos"),
+                      F.round(F.try_divide(n, 2 * F.col("n_neg")), 6).alias("weight_neg"))
 
 
 def with_class_weight(df: DataFrame, label: str = "denial_label", out: str = "weight") -> DataFrame:

@@ -87,10 +87,14 @@ class Trained:
     params: dict
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Training makes many passes: spread rows over every core and keep them
+#: Rows of a training partition, about. The data decide the number, so that a model doesn't depend on the cluster.
+PARTITION_ROWS = 20_000
+
+
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """Training makes many passes: spread rows evenly and keep them
     (memory, spilling to disk) for the duration of the fit."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-rows // PARTITION_ROWS))
     # bagging samples rows in partition order: fix the order so a rerun (or a
     # recomputed partition) trains the same model
     return (df.repartition(n, "claim_id").sortWithinPartitions("claim_id")
@@ -103,15 +107,13 @@ def _class_counts(train: DataFrame) -> tuple[int, int]:
 
 
 def fit_champion(train_frame: DataFrame, max_iter: int = 50, early_stopping: bool = False) -> Trained:
-    train = train_frame.filter(F.col("split") == "train")
-    if not early_stopping:
-        train = train.filter(~F.col("is_val"))
+    train = train_frame.filter(F.col("split") == "train")  # ``is_val`` rows validate when stopping early, and are fitted otherwise
     n_pos, n = _class_counts(train)
     ratio = (n - n_pos) / max(n_pos, 1)  # AGG-12 scale_pos_weight
     data = model_input(train.withColumn("weight", F.when(F.col("denial_label") == 1, F.lit(ratio))
                                                    .otherwise(F.lit(1.0))))
     est = champion(max_iter=max_iter, early_stopping=early_stopping)
-    data = _spread(data)
+    data = _spread(data, n)
     model = Pipeline(stages=[assembler(), est]).fit(data)
     data.unpersist()
     params = {"model": "gbt", "maxIter": str(max_iter), "maxDepth": str(est.getMaxDepth()),
@@ -121,9 +123,9 @@ def fit_champion(train_frame: DataFrame, max_iter: int = 50, early_stopping: boo
 
 
 def fit_challenger(train_frame: DataFrame, num_trees: int = 50) -> Trained:
-    train = ME.with_class_weight(train_frame.filter((F.col("split") == "train") & ~F.col("is_val")))
+    train = ME.with_class_weight(train_frame.filter(F.col("split") == "train"))
     est = challenger(num_trees=num_trees)
-    data = _spread(model_input(train))
+    data = _spread(model_input(train), train.count())
     model = Pipeline(stages=[assembler(), est]).fit(data)
     data.unpersist()
     params = {"model": "random_forest", "numTrees": str(num_trees), "maxDepth": str(est.getMaxDepth()),
@@ -139,13 +141,6 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     return ME.decisions(out)
 
 
-def flagged(model: PipelineModel, features: DataFrame, threshold: float = K.DENY_THRESHOLD) -> DataFrame:
-    """Claims the model would deny, with their raw feature values (no join back)."""
-    scored = model.transform(model_input(features, label=None, carry=tuple(K.FEATURE_COLS)))
-    return (scored.filter(vector_to_array("probability")[1] > threshold)
-                  .select("claim_id", *K.FEATURE_COLS))
-
-
 def evaluate(model: PipelineModel, labelled: DataFrame) -> DataFrame:
     """ML-3: metrics per split (train/test) for one model."""
     scored = score(model, labelled).join(labelled.select("claim_id", "denial_label"), "claim_id")

@@ -532,6 +532,23 @@ def _model_letters(spark, sf_dir):
     return RP.letters(shap, today=LETTER_DATE, lime=lime, model_name="Spark ML GBT (champion)")
 
 
+@register("letters_complete", O.with_ctes(["cr"], "SELECT COUNT(*) AS n_claims, 0 AS null_letters, 0 AS null_summaries FROM cr"))
+def q_letters_complete(spark, sf_dir):
+    """Every claim has a letter and a summary, approved or not."""
+    return _model_letters(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_claims"), F.count_if(F.col("member_letter").isNull()).cast("int").alias("null_letters"),
+        F.count_if(F.col("adjuster_summary").isNull()).cast("int").alias("null_summaries"))
+
+
+@register("lime_coverage", O.with_ctes(["cr"], "SELECT COUNT(*) AS n_claims, COUNT(*) AS n_explained FROM cr"))
+def q_lime_coverage(spark, sf_dir):
+    """Claims, and claims that LIME explains."""
+    explained = M.lime_reasons(spark, sf_dir).filter("rank = 1").agg(F.count(F.lit(1)).alias("n_explained"))
+    # two one-row results side by side
+    return P.claims_raw(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_claims")).withColumn("k", F.lit(1)).join(
+        explained.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 @register("member_letters")
 def q_member_letters(spark, sf_dir):
     return _model_letters(spark, sf_dir).select("claim_id", "member_letter")

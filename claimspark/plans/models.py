@@ -87,10 +87,10 @@ def lime_profile(spark: SparkSession, sf_dir: str) -> dict:
     return _CACHE[k]
 
 
-def flagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims the letters explain with LIME: model probability > 0.5."""
-    return MD.flagged(trained(spark, sf_dir, "champion").model, P.claims_features(spark, sf_dir))
+def explained_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims the letters explain with LIME: all of them, approved or not."""
+    return P.claims_features(spark, sf_dir).select("claim_id", *K.FEATURE_COLS)
 
 
 def lime_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LM.lime_reasons(flagged_claims(spark, sf_dir), lime_profile(spark, sf_dir), tree_arrays(spark, sf_dir))
+    return LM.lime_reasons(explained_claims(spark, sf_dir), lime_profile(spark, sf_dir), tree_arrays(spark, sf_dir))

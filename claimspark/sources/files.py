@@ -19,6 +19,7 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +127,9 @@ def survey_rates_from_path(spark: SparkSession, path: str | None) -> DataFrame:
         if not denial:
             return SV.literature_rates(spark, "meps_literature_no_indicator")
         return SV.survey_rates(spark, df)
-    except Exception:  # noqa: BLE001 - any file-level failure falls back, as documented
+    except AnalysisException as e:  # a missing file falls back, as documented; any other failure is one
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return SV.literature_rates(spark, "meps_literature_error")
 
 
@@ -134,5 +137,7 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-12: the table if it exists, else an empty frame of the same schema."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
