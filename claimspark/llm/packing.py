@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def cut(batches):
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            rows = [[] for _ in range(6)]
+            rows = [[] for _ in range(5 + keep_ids)]
             for k, ids in encode_in_slices(tokenizer, texts):
                 ids += end
                 n, start = len(ids) // 4, 0
@@ -121,7 +121,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         col.append(value)
                     start, size = start + size, capacity
             cols = [names.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:5])]
-            cols += [pa.array(rows[5], pa.binary())] * keep_ids
+            if keep_ids:
+                cols.append(pa.array(rows[5], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

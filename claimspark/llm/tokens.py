@@ -30,7 +30,7 @@ class Encoder:
     chunks remembered; beyond it the memory is emptied, which changes no id.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task: Spark spreads the work
         from tokenizers import Tokenizer
 
@@ -115,7 +115,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_in_slices(path: str, texts: list, chars: int = 8_000_000):
+def encode_in_slices(path: str, texts: list, chars: int = 2_000_000):
     """Yield (position, ids) of each text (null: empty), about ``chars`` characters at a time."""
     WORDS.clear()  # a reused worker holds one memory at a time
     enc, at = encoder(path), 0
