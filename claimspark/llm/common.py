@@ -57,6 +57,15 @@ class WordHash(dict):
 
 
 WORDS = WordHash()
+#: What a Python worker, which Spark uses again for later tasks, remembers between them.
+MEMORIES: dict[str, dict] = {"words": WORDS}
+
+
+def hold(name: str) -> None:
+    """Empty the memories of this worker but the one named: it holds one at a time."""
+    for other, memory in MEMORIES.items():
+        if other != name:
+            memory.clear()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

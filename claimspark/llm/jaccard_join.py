@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, word_hashes, write_shared
+from .common import hold, mix, word_hashes, write_shared
 from .components import components
 
 #: Members of all sets that one task verifies at most, twice.
@@ -77,6 +77,7 @@ def _emitted(members: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, digest, n, node, counted, members`` of every document; equal sets of one task emit members once."""
     def run(batches):
+        hold("words")
         seen = set()
         for batch in batches:
             sizes, nodes, counts, lists = [], [], [], []

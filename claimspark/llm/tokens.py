@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import WORDS
+from .common import MEMORIES, hold
 
 #: Punctuation that is looked up apart from the letters before it.
 _TAIL = ".,;:!?"
@@ -105,7 +105,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = MEMORIES.setdefault("tokens", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -117,7 +117,7 @@ def encoder(path: str) -> Encoder:
 
 def encode_in_slices(path: str, texts: list, chars: int = 2_000_000):
     """Yield (position, ids) of each text (null: empty), about ``chars`` characters at a time."""
-    WORDS.clear()  # a reused worker holds one memory at a time
+    hold("tokens")
     enc, at = encoder(path), 0
     while at < len(texts):
         end, n = at, 0

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold
+
 BUCKETS = 1 << 20
 DIM = 8
 GRAMS = (3, 4, 5, 6)
@@ -63,13 +65,14 @@ class Bags:
         for to, of, n in ((row, col, shape[0]), (col, row, shape[1])):
             order = np.argsort(to, kind="stable")
             there, first = np.unique(to[order], return_index=True)
-            self.ways.append((of[order], weight[order].astype(np.float32)[:, None], there, first, n))
+            self.ways.append((of[order].astype(np.int32), weight[order].astype(np.float32), there, first, n))
 
     def times(self, x: np.ndarray, back: bool = False) -> np.ndarray:
         of, weight, there, first, n = self.ways[back]
         out = np.zeros((n, x.shape[1]), np.float32)
         if len(there):
-            out[there] = np.add.reduceat(x[of] * weight, first, axis=0)
+            for k, column in enumerate(np.ascontiguousarray(x.T)):  # one at a time: the products are as long as the matrix has entries
+                out[there, k] = np.add.reduceat(column[of] * weight, first)
         return out
 
 
@@ -87,10 +90,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 42) -> dict[str, np.nd
     pair, count = np.unique(row * max(1, len(vocabulary)) + col, return_counts=True)
     row, col = pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary))
     documents = Bags(row, col, SCALE * count / length[row], (len(texts), len(vocabulary)))
-    grams = [buckets_of(w) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams], np.int64)
-    of_word = np.repeat(np.arange(len(grams)), sizes)
-    flat = np.array([b for g in grams for b in g], np.int64)
+    grams = [np.array(buckets_of(w), np.int32) for w in vocabulary]
+    sizes = np.fromiter(map(len, grams), np.int32, len(grams))
+    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)
+    flat = np.concatenate([np.empty(0, np.int32), *grams])
     # buckets of one or two documents would learn these by heart, those of nearly all tell nothing
     held_by = np.bincount(flat, np.bincount(col, minlength=len(grams))[of_word], BUCKETS) if len(flat) else np.zeros(BUCKETS)
     trained = (held_by >= MIN_DOCUMENTS) & (held_by <= MOST * len(texts))
@@ -176,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], key=lambda c: c.fillna("") if c.name == "text" else c, kind="stable")
         rows = rows[rows["text"].fillna("").str.len().cumsum() <= max_chars]
+        hold("")  # the fit needs the room
         out = io.BytesIO()
         np.savez_compressed(out, **fit(rows["text"].fillna("").tolist(), rows["toxic"].to_numpy(np.int64)))
         return pd.DataFrame({"model": [out.getvalue()]})
