@@ -84,15 +84,15 @@ def block_words(total: int, least_target: float) -> int:
     return int(max(low, min(1024, least_target // 64)))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``, and ``blocks`` its source's quota.
+def _placed(docs: DataFrame, digest: Column, weights, repeats: int, seed: int) -> tuple[DataFrame, int]:
+    """Every document's place in its shard's seeded order and the shard's quota of words; and the words of a block.
 
-    ``taken`` counts the words the mix takes, repeats included: 0 to ``repeats``
-    times ``size``. Null texts have no words; null is a source of its own; rows
-    that share an id are documents of their own. An empty table gives none.
-    Only ``doc_id``, ``text`` and ``source`` are read.
+    ``digest`` is carried along. The shard's ``words`` are ``passes`` times all
+    of its own ``cell`` words and ``rest`` more; the document's stand from
+    ``low`` to ``high``.
     """
-    sized = write_shared(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), digest.alias("digest"))
+    sized = write_shared(sized, "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = source_targets(by_source, weights, repeats)
     least, total = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("source_size")).first()
@@ -109,12 +109,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42
     cells = rows.groupBy("sid", "shard").agg(F.sum("size").alias("cell"), F.first("blocks").alias("seats"))
     cells = apportion(cells, ["sid"], "shard", "cell", "seats", "quota").select("sid", "shard", "cell", "quota")
 
-    stream = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(cells, ["sid", "shard"]).withColumn("low", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     b = F.lit(block).cast("long")
     words = F.least(F.col("quota") * b, F.lit(repeats) * F.col("cell"))
     rows = rows.withColumns({"high": F.expr("low + size"), "words": words})
-    rows = rows.withColumns({"passes": F.expr("words div cell"), "rest": F.expr("words % cell"), "whole": F.expr(f"cell div {block}")})
+    return rows.withColumns({"passes": F.expr("words div cell"), "rest": F.expr("words % cell")}), block
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken``, and ``blocks`` its source's quota.
+
+    ``taken`` counts the words the mix takes, repeats included: 0 to ``repeats``
+    times ``size``. Null texts have no words; null is a source of its own; rows
+    that share an id are documents of their own. An empty table gives none.
+    Only ``doc_id``, ``text`` and ``source`` are read.
+    """
+    rows, block = _placed(docs, F.lit(0).cast("long"), weights, repeats, seed)
+    b = F.lit(block).cast("long")
+    rows = rows.withColumn("whole", F.expr(f"cell div {block}"))
     rows = rows.withColumns({"chosen": F.expr(f"rest div {block}"), "part": F.expr(f"rest % {block}")})
     rows = rows.withColumn("shift", F.pmod(F.col("sid") * 7919 + F.col("shard") * 104729 + seed, F.greatest("whole", F.lit(1))))
 
@@ -131,15 +144,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its taken words make up its text, rounded.
+    """``docs`` as often as the mix takes them, in whole copies.
 
-    Rows without words are left out. Rows are found again by id and
-    size; of rows equal in both, each gets the smallest number taken.
+    A shard's quota is met by all its documents ``passes`` times, and once more
+    by those that come first in its seeded order: up to the document whose middle
+    the rest of the quota reaches. So a shard is off its quota by at most half
+    a document, whatever the block size. Rows without words are left out. Rows
+    equal in id, source and text are taken or left together.
     """
-    plan = mix(docs, weights, repeats, seed)
+    rows, _ = _placed(docs, F.xxhash64(F.col("text").cast("string")), weights, repeats, seed)
+    more = (F.expr("low + high") <= 2 * F.col("rest")).cast("int")
+    copies = rows.filter("size > 0").withColumn("copies", F.col("passes") + more).groupBy("doc_id", F.col("of_source").alias("in_source"), "size", "digest").agg(
+        F.round(F.avg("copies")).cast("int").alias("__copies")).filter("__copies > 0")
     source = docs.select(F.struct("*").alias("doc"))
-    source = source.select("doc", F.col("doc.doc_id").cast("long").alias("__id"), word_count(F.col("doc.text").cast("string")).alias("__size"))
-    copies = (plan.filter("size > 0").groupBy("doc_id", "size").agg(F.min(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
-              .filter("__copies > 0"))
-    found = source.join(copies, source["__id"].eqNullSafe(copies["doc_id"]) & (source["__size"] == copies["size"]))
+    text = F.col("doc.text").cast("string")
+    source = source.select("doc", F.col("doc.doc_id").cast("long").alias("__id"), F.col("doc.source").cast("string").alias("__source"), F.xxhash64(text).alias("__digest"))
+    found = source.join(copies, source["__id"].eqNullSafe(copies["doc_id"]) & source["__source"].eqNullSafe(copies["in_source"])
+                        & (source["__digest"] == copies["digest"]))
     return found.select("doc", F.explode(F.sequence(F.lit(1), "__copies"))).select("doc.*")
