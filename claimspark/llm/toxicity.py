@@ -13,6 +13,7 @@ text. As the model is linear, scoring needs one number per bucket.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zlib
@@ -174,14 +175,43 @@ def fit_sample(docs: DataFrame, known: DataFrame, max_per_class: int = MAX_PER_C
     return joined.orderBy(order, "doc_id", "text").limit(2 * max_per_class)
 
 
+def within(rows: pd.DataFrame, max_chars: int) -> pd.DataFrame:
+    """Rows ``doc_id, toxic, text`` that the fit takes: all of them, or of each class as many as fit.
+
+    A class has half of ``max_chars`` and what the other one leaves. Where it
+    has more, its rows come in hash order, those of over a 16th of its share
+    last; a row that doesn't fit is skipped. If none fits, the shortest is
+    cut to the share, so that no class is lost.
+    """
+    length = rows["text"].str.len()
+    if length.sum() <= max_chars:
+        return rows
+    totals = {c: int(length[rows["toxic"] == c].sum()) for c in (0, 1)}
+    kept = []
+    for c in (0, 1):
+        room = share = max(max_chars // 2, max_chars - totals[1 - c])
+        own = rows[rows["toxic"] == c]
+        order = sorted(((16 * n > share, hashlib.md5(str(d).encode()).hexdigest(), t, k) for k, d, t, n in zip(own.index, own["doc_id"], own["text"], length[own.index])))
+        some = []
+        for _, _, text, k in order:
+            if len(text) <= room:
+                room -= len(text)
+                some.append(k)
+        if some:
+            kept.append(own.loc[some])
+        elif len(own):
+            shortest = own.loc[[min(order, key=lambda o: (len(o[2]), o[1:]))[3]]]
+            kept.append(shortest.assign(text=shortest["text"].str[:share]))
+    return pd.concat(kept)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> dict[str, np.ndarray]:
     """Fit on the bounded sample in one task; the model (a few MB whatever the corpus) comes to the driver."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "text"], key=lambda c: c.fillna("") if c.name == "text" else c, kind="stable")
-        rows = rows[rows["text"].fillna("").str.len().cumsum() <= max_chars]
+        rows = within(rows.assign(text=rows["text"].fillna("")), max_chars).sort_values(["doc_id", "text"], kind="stable")
         hold("")  # the fit needs the room
         out = io.BytesIO()
-        np.savez_compressed(out, **fit(rows["text"].fillna("").tolist(), rows["toxic"].to_numpy(np.int64)))
+        np.savez_compressed(out, **fit(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)))
         return pd.DataFrame({"model": [out.getvalue()]})
 
     known = known_labels(labels)

@@ -59,3 +59,25 @@ def test_sample_is_bounded_and_never_held_out(spark, docs_of):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(400)], "doc_id long, quality int, toxic int")
     got = T.fit_sample(docs_of([(k, "x") for k in range(400)]), T.known_labels(labels), max_per_class=20).collect()
     assert len(got) == 40 and not any(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+
+
+def test_one_long_labelled_text_does_not_end_the_sample(spark, docs_of):
+    rows = [(0, "river stone " * 2000, 0)] + [(k + 1, t, y) for k, t, y in toy()]
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    docs = docs_of([(k, t) for k, t, _ in rows])
+    # as many characters as all the others have, fewer than the long one
+    model = T.train(docs, labels, max_chars=20_000)
+    got = {r.doc_id: r.predicted for r in T.score(docs, model).collect()}
+    assert len(rows[0][1]) > 20_000 and all(got[k] == y for k, _, y in rows[1:])
+
+
+def test_each_class_has_its_share_of_the_characters():
+    import pandas as pd
+
+    rows = pd.DataFrame([(k, int(k >= 60), "x" * (1000 if k < 60 else 100)) for k in range(80)] + [(100, 1, "y" * 50_000)], columns=["doc_id", "toxic", "text"])
+    kept = T.within(rows, 20_000)
+    assert kept["text"].str.len().sum() <= 20_000
+    assert (kept.toxic == 1).sum() == 20 and (kept.toxic == 0).sum() == 10
+    assert T.within(rows, 10**9).equals(rows)
+    alone = T.within(rows.iloc[[0, 80]], 500)
+    assert sorted(zip(alone.toxic, alone.text.str.len())) == [(0, 250), (1, 250)]
