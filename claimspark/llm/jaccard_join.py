@@ -178,6 +178,13 @@ def _families(entries: DataFrame) -> DataFrame:
     return components(entries.join(hubs, "member").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the text of each node's first document, found by id and text digest: many documents may share the id."""
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
+    found = members.join(source, members["least_id"].eqNullSafe(source["id"]) & (members["least_digest"] == source["digest"]))
+    return found.select("family", "block", "blocks", "node", "text")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, family_members: int = FAMILY_MEMBERS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``, and ``component, digest`` of set and text.
 
@@ -189,23 +196,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, famil
     """
     sets = write_shared(sets_of(docs, width, percent), "sets")
     nodes = sets.filter("node IS NOT NULL").groupBy("node").agg(
-        F.max("n").alias("n"), F.max(F.size("members")).alias("emitted"), F.max("counted").alias("counted"), F.min("doc_id").alias("least_id"))
+        F.max("n").alias("n"), F.max(F.size("members")).alias("emitted"), F.max("counted").alias("counted"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("least"))
+    nodes = nodes.withColumns({"least_id": F.col("least.doc_id"), "least_digest": F.col("least.digest")}).drop("least")
     entries = write_shared(shared_prefixes(sets, nodes, percent), "entries")
     families = write_shared(_families(entries), "families")
 
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum("n") / family_members).alias("blocks"))
-    members = families.join(nodes.select("node", "least_id"), "node").join(sizes, "component")
+    members = families.join(nodes.select("node", "least_id", "least_digest"), "node").join(sizes, "component")
     block = F.pmod("node", "blocks")
-    members = members.select("node", "least_id", F.col("component").alias("family"), block.alias("block"), "blocks")
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    texts = members.join(source, members["least_id"].eqNullSafe(source["id"])).select("family", "block", "blocks", "node", "text")
+    members = members.select("node", "least_id", "least_digest", F.col("component").alias("family"), block.alias("block"), "blocks")
+    texts = texts_of(docs, members)
 
     def whole_sets(batches):
         for batch in batches:
             found, mine = [], []
             for k, (node, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4))):
                 s = shingles(text.as_py(), width)
-                if len(s) and node_of(s) == node:  # not another document with the same id
+                if len(s) and node_of(s) == node:  # not another text with the same digest
                     found.append(s.tobytes())
                     mine.append(k)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(mine, pa.int64())) for c in range(4)), pa.array(found, pa.binary())], ["family", "block", "blocks", "node", "members"])

@@ -92,3 +92,21 @@ def test_components_of_paths_and_stars(spark):
     assert {(r.node, r.component) for r in rows} == {(k, 0) for k in range(301)} | {(k, 1000) for k in [1000, *range(2000, 2300)]} and len(rows) == 602
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert np.iinfo(np.int64).min <= J.node_of(np.empty(0, np.uint64)) <= np.iinfo(np.int64).max
+
+
+@pytest.mark.parametrize("shared", [7, None])
+def test_texts_under_one_id_are_fetched_once(docs_of, monkeypatch, shared):
+    """Each set's text is fetched once where many documents share its id."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(shared, " ".join(words + [f"tail{k}"])) for k in range(40)] + [(100 + k, f"a b c d {k}") for k in range(5)]
+    fetched = []
+    plan = type(docs_of([])).mapInArrow
+
+    def counted(df, func, schema):
+        if "blocks" in df.columns:
+            fetched.append(df.count())
+        return plan(df, func, schema)
+
+    monkeypatch.setattr(type(docs_of([])), "mapInArrow", counted)
+    assert got(J.jaccard_components(docs_of(rows))) == brute_force(rows, 3, 90)
+    assert fetched == [40]
