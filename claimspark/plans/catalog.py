@@ -632,7 +632,7 @@ def q_stream_audit(spark, sf_dir):
     stream = ST.audit_entries(spark.readStream.schema(ov.schema).option("maxFilesPerTrigger", 1)
                               .parquet(f"{src}/*"))
     ST.run_available(stream, sink, ck)
-    return spark.read.parquet(sink)
+    return ST.merge_entries(spark.read.parquet(sink))
 
 
 # --- remaining user-level operators -------------------------------------------------

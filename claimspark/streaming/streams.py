@@ -3,9 +3,9 @@
 ST-1 is stateless: each micro-batch of raw claim rows goes through the same
 cleaning, stream-static beneficiary join, feature and scoring expressions as
 the batch plan, so stream output equals batch output.
-ST-2 validates override requests and drops redelivered ones with a
-watermark-bounded deduplication on ``audit_id`` (state is bounded by the
-watermark delay, not by the stream's length).
+ST-2 validates override requests and appends them to a sink without state, so
+that no request is too late, whatever the order of the files; redelivered ones
+are merged by ``audit_id`` when the sink is read as the audit table.
 
 Both run with ``trigger(availableNow=True)`` into parquet sinks whose
 checkpoints live under the cluster's shared checkpoint folder, so a restart
@@ -39,17 +39,19 @@ def score_claims(raw_claims: DataFrame, bene: DataFrame, intercept: float, sampl
     return decisions(scored)
 
 
-def audit_entries(overrides: DataFrame, delay: str = "30 days") -> DataFrame:
-    """ST-2 transform: valid, de-duplicated audit entries."""
+def audit_entries(overrides: DataFrame) -> DataFrame:
+    """ST-2 transform: valid audit entries, as often as they are delivered (see ``merge_entries``)."""
     checked = with_override_violations(overrides).filter("is_valid")
-    ts = F.col("timestamp").cast("timestamp")
-    return (checked.withColumn("event_time", ts)
-                   .withWatermark("event_time", delay)
-                   .dropDuplicatesWithinWatermark(["audit_id"])
-                   .withColumn("timestamp", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return (checked.withColumn("timestamp", F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
                    .select(*AUDIT_COLUMNS))
 
 
+def merge_entries(entries: DataFrame) -> DataFrame:
+    """The audit table: one entry of each ``audit_id``, the earliest (then the first by its other columns)."""
+    first = F.min(F.struct("timestamp", *[c for c in AUDIT_COLUMNS if c != "timestamp"])).alias("first")
+    return entries.groupBy("audit_id").agg(first).select("first.*").select(*AUDIT_COLUMNS)
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Process everything available now, then stop (exactly-once file sink)."""
     q = (df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
@@ -59,4 +61,4 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet
         raise q.exception()
 
 
-__all__ = ["claims_stream", "score_claims", "audit_entries", "run_available", "K"]
+__all__ = ["claims_stream", "score_claims", "audit_entries", "merge_entries", "run_available", "K"]
