@@ -345,6 +345,14 @@ def q_scorecard_shap(spark, sf_dir):
     return s.select("claim_id", *[F.round(c, 6).alias(c) for c in ["base_value", "log_odds", *_PHI]])
 
 
+@register("attribution_map", O.with_ctes(["sh"], "SELECT claim_id, MAP([" + ", ".join(f"'{f}'" for f in K.FEATURE_COLS) + "], ["
+                                                 + ", ".join(f"ROUND({c}, 6)" for c in _PHI) + "]) AS attributions FROM sh"))
+def q_attribution_map(spark, sf_dir):
+    """MAP-1: one map of feature to attribution per claim."""
+    attributions = F.transform_values(SH.shap_map(), lambda _, v: F.round(v, 6))
+    return P.scorecard_shap(spark, sf_dir).select("claim_id", attributions.alias("attributions"))
+
+
 @register("top_drivers", O.with_ctes(["rk"], """
 SELECT claim_id, rnk AS rank, feature, ROUND(value, 6) AS shap_value,
  CASE WHEN value > 0 THEN 'increases_denial' ELSE 'decreases_denial' END AS direction FROM rk WHERE rnk <= 10"""))
