@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, licenses, maxscore, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
+from . import exact_dedup, jaccard_join, licenses, maxscore, merkle, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
 from .common import table
 
 
@@ -224,8 +225,51 @@ SELECT doc_id, license, coalesce(dice, 0) AS dice, coalesce(licenses, '') AS lic
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, proofs tried on a seventh of them tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+_FIELDS = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_TAMPERED = _FIELDS.replace("n_chars", "(TRY_CAST(n_chars AS HUGEINT) + 1)")
+# The polynomial division of crc32, bit by bit; DuckDB has no function for it.
+_CRC32 = """xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+  lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+# Level by level here: no labels, no queue. '^' is the tree of the subroots.
+OP11_SQL = f"""
+WITH RECURSIVE h AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_FIELDS}) AS leaf, s IS NOT NULL AND {_CRC32} % 7 = 0 AND TRY_CAST(n_chars AS HUGEINT) IS NOT NULL AS tampered, sha256({_TAMPERED}) AS changed
+  FROM (SELECT *, doc_id::VARCHAR AS s FROM documents)),
+l AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size, row_number() OVER () AS rid FROM h),
+up(tree, level, place, digest, size) AS (
+  SELECT tree, 0, place, leaf, size FROM l
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value((size + 1) // 2) FROM up WHERE size > 1 GROUP BY tree, level, place // 2),
+sub AS MATERIALIZED (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM up WHERE size = 1),
+top(level, place, digest, size) AS (
+  SELECT 0, place, digest, size FROM sub
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value((size + 1) // 2) FROM top WHERE size > 1 GROUP BY level, place // 2),
+nodes AS MATERIALIZED (SELECT * FROM up UNION ALL SELECT '^', level, place, digest, size FROM top),
+walk(rid, home, tree, level, place, size, digest, proof) AS (
+  SELECT rid, tree, tree, 0, place, size, CASE WHEN tampered THEN changed ELSE leaf END, '' FROM l
+  UNION ALL
+  SELECT rid, home, CASE WHEN w.size > 1 THEN w.tree ELSE '^' END, CASE WHEN w.size > 1 THEN w.level + 1 ELSE 0 END,
+         CASE WHEN w.size > 1 THEN w.place // 2 ELSE sub.place END, CASE WHEN w.size > 1 THEN (w.size + 1) // 2 ELSE sub.size END,
+         CASE WHEN w.size = 1 THEN w.digest WHEN s.digest IS NULL THEN sha256(w.digest) WHEN w.place % 2 = 0 THEN sha256(w.digest || s.digest) ELSE sha256(s.digest || w.digest) END,
+         proof || coalesce(s.digest, '')
+  FROM walk w JOIN sub ON sub.tree = home LEFT JOIN nodes s ON w.size > 1 AND s.tree = w.tree AND s.level = w.level AND s.place = xor(w.place, 1)
+  WHERE w.size > 1 OR w.tree <> '^'),
+root AS (SELECT digest AS root FROM top WHERE size = 1)
+SELECT doc_id, leaf, sub.digest AS subroot, root, sha256(proof) AS proof_sha256, w.digest AS folded_root, w.digest = root AS verified
+FROM l JOIN walk w USING (rid) JOIN sub ON sub.tree = l.tree, root WHERE w.tree = '^' AND w.size = 1
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op9_substring_dedup, op10_token_files)}
+    op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op9_substring_dedup, op10_token_files,
+    op11_merkle_manifest)}
 ORACLES: dict[str, str] = {
     "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL,
-    "op9_substring_dedup": OP9_SQL}
+    "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
