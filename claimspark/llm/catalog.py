@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, licenses, maxscore, merkle, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
+from . import exact_dedup, fingerprints, jaccard_join, licenses, maxscore, merkle, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
 from .common import table
 
 
@@ -267,9 +267,58 @@ FROM l JOIN walk w USING (rid) JOIN sub ON sub.tree = l.tree, root WHERE w.tree
 """
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
+def _leading(a: str, b: str) -> str:
+    """Code points of the leaves that two lists have in common at their beginning."""
+    same = f"list_transform(list_zip({a}[:least(len({a}), len({b}))], {b}[:least(len({a}), len({b}))]), lambda x: x[1] = x[2])"
+    return _points(f"{a}[:coalesce(nullif(list_position({same}, false), 0) - 1, least(len({a}), len({b})))]")
+
+
+def _points(leaves: str) -> str:
+    return f"coalesce(list_sum(list_transform({leaves}, lambda x: split_part(x, '.', 2)::BIGINT)), 0)::BIGINT"
+
+
+def _dice(a: str, b: str) -> str:
+    both = f"({_points(f'list_distinct({a}.leaves)')} + {_points(f'list_distinct({b}.leaves)')})"
+    return f"CASE WHEN {a}.root = {b}.root THEN 1.0::DOUBLE WHEN {both} = 0 THEN 0.0::DOUBLE ELSE round(2 * {_points(f'list_intersect({a}.leaves, {b}.leaves)')} / {both}::DOUBLE, 9) END"
+
+
+# One tree for each distinct text here, joined by the text.
+OP12_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, t, length(t)::BIGINT AS n, row_number() OVER w AS rid, coalesce(lead(t) OVER w, first_value(t) OVER w) AS follow
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, sha256(coalesce(doc_id::VARCHAR, '-') || ':' || t) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS MATERIALIZED (SELECT *, left(t, n - n // 4) || left(follow, n // 4) AS edited FROM d),
+u AS (SELECT DISTINCT unnest([t, edited]) AS t FROM e),
+p AS (SELECT t, list_transform(regexp_extract_all(t, '{fingerprints.LEAF}'), lambda x: sha256(x) || '.' || length(x) || CASE WHEN ends_with(x, chr(10)) THEN '/' ELSE '-' END) AS pieces FROM u),
+g AS (SELECT *, list_transform(list_filter(string_split(array_to_string(pieces, ''), '/'), lambda x: x <> ''), lambda x: sha256(x)) AS paragraphs FROM p),
+s AS (
+  SELECT *, list_transform(list_filter(string_split(array_to_string(list_transform(paragraphs, lambda x: x || CASE WHEN x < '4' THEN '|' ELSE '-' END), ''), '|'), lambda x: x <> ''),
+                           lambda x: sha256(x)) AS sections FROM g),
+m AS MATERIALIZED (
+  SELECT t, sha256(coalesce(array_to_string(sections, ''), '')) AS root, list_transform(sections, lambda x: x[:{fingerprints.DIGITS}]) AS sections,
+         list_transform(pieces, lambda x: x[:{fingerprints.LEAF_DIGITS}] || x[65:-2]) AS leaves FROM s),
+j AS (
+  SELECT e.*, a, b, c, {_leading('a.leaves', 'b.leaves')} AS front, {_leading('list_reverse(a.leaves)', 'list_reverse(b.leaves)')} AS back
+  FROM e JOIN m a ON a.t = e.t JOIN m b ON b.t = e.edited JOIN m c ON c.t = e.follow)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+       a.root || ';' || coalesce(array_to_string(a.sections, ','), '') || ';' || coalesce(array_to_string(a.leaves, ','), '') AS fingerprint,
+       b.root || ';' || coalesce(array_to_string(b.sections, ','), '') || ';' || coalesce(array_to_string(b.leaves, ','), '') AS edited_fingerprint,
+       {_dice('a', 'b')} AS near_edited, {_dice('a', 'c')} AS near_next, len(a.sections)::INT AS n_sections,
+       len(list_filter(list_distinct(b.sections), lambda x: NOT list_contains(a.sections, x)))::INT AS sections_changed,
+       front AS edit_start, n - least(back, n - front) AS edit_end
+FROM j
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op9_substring_dedup, op10_token_files,
-    op11_merkle_manifest)}
+    op11_merkle_manifest, op12_document_fingerprints)}
 ORACLES: dict[str, str] = {
     "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL,
-    "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+    "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_document_fingerprints": OP12_SQL}
