@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard_join, licenses, maxscore, merkle, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
+from . import collocations, exact_dedup, fingerprints, jaccard_join, licenses, maxscore, merkle, mixing, packing, secret_scan, substring_dedup, token_files, toxicity
 from .common import table
 
 
@@ -316,9 +316,38 @@ FROM j
 """
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of 2 to 5 words that occur 100 times or more in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, share=100, top=2000)
+
+
+# Every phrase is counted here, cuts and phrases inside longer ones are joined by text.
+OP13_SQL = rf"""
+WITH p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}') AS t FROM documents)),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(k)::INT AS k, count(*)::BIGINT AS a, string_split(phrase, ' ') AS words FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, words, f.k, a, unnest(range(1, f.k)) AS cut FROM f WHERE f.k > 1),
+s AS (
+  SELECT c.*, l.a AS l, r.a AS r, total.n, (1000 * c.a::HUGEINT * total.n // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[cut + 1:], ' ')
+  JOIN total ON total.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, f.k), lambda m: list_transform(range(1, f.k - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))))) AS phrase FROM f WHERE f.k > 2),
+inside AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, cut
+FROM b LEFT JOIN inside USING (lang, phrase) WHERE coalesce(100 * most < 100 * a, true)
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_mix_sources, op3_top_k_search, op4_secret_scan, op5_toxicity, op6_exact_dedup, op7_license_scan, op8_jaccard_join, op9_substring_dedup, op10_token_files,
-    op11_merkle_manifest, op12_document_fingerprints)}
+    op11_merkle_manifest, op12_document_fingerprints, op13_phrase_collocations)}
 ORACLES: dict[str, str] = {
     "op2_mix_sources": OP2_SQL, "op3_top_k_search": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_license_scan": OP7_SQL,
-    "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_document_fingerprints": OP12_SQL}
+    "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_document_fingerprints": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
