@@ -572,7 +572,7 @@ import hashlib as _hashlib  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
 from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..sources import files as SRC  # noqa: E402
+from ..sources import samples as SMP  # noqa: E402
 from ..streaming import streams as ST  # noqa: E402
 
 
@@ -586,28 +586,77 @@ def _write_csv(df, path):
        .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def stage_raw_files(spark, sf_dir) -> dict:
-    """Write the adapter's raw tables as per-sample CSV files (the raw file layout)."""
-    root = _stage_root(spark, sf_dir, "raw")
+#: What sample 2's files lack; its other columns come in another order.
+_LACKING = {"IP": ["OP_PHYSN_NPI", "ICD9_PRCDR_CD_2"], "OP": ["ICD9_DGNS_CD_3"], "BENE": ["SP_STRKETIA", "BENE_HMO_CVRAGE_TOT_MONS"]}
+_FILES = {"IP": "DE1_0_2008_to_2010_Inpatient_Claims_Sample_{}.csv", "OP": "DE1_0_2008_to_2010_Outpatient_Claims_Sample_{}.csv",
+          "BENE": "DE1_0_2008_Beneficiary_Summary_File_Sample_{}.csv"}
+_SAMPLES = [1, 2, 3, 4]  # sample 3 has a malformed record, sample 4 no file
+
+
+def stage_raw_files(spark, sf_dir) -> str:
+    """Write the adapter's raw tables as per-sample CSV files (the raw file layout) and return their folder.
+
+    Samples 1 and 2 share the claims but for every tenth, and differ in header;
+    sample 3 has the rest and one record that is cut short.
+    """
+    root = _stage_root(spark, sf_dir, f"raw/{_uuid.uuid4().hex}")
     raw = FX.raw_claims(spark, sf_dir)
-    paths = {
-        "ip": f"{root}/DE1_0_2008_to_2010_Inpatient_Claims_Sample_1.csv",
-        "op": f"{root}/DE1_0_2008_to_2010_Outpatient_Claims_Sample_1.csv",
-        "bene": f"{root}/DE1_0_2008_Beneficiary_Summary_File_Sample_1.csv",
-    }
-    for kind, key in (("IP", "ip"), ("OP", "op")):
-        wanted = K.IP_COLS if kind == "IP" else K.OP_COLS
-        part = raw.filter(F.col("claim_type") == kind)
-        _write_csv(part.select(*[c for c in wanted if c in part.columns]), paths[key])
-    _write_csv(FX.raw_bene(spark, sf_dir), paths["bene"])
-    return paths
-
-
-@register("csv_ingest", O.with_ctes(["cr"], "SELECT * FROM cr"))
+    n = F.col("CLM_ID").cast("long")
+    of = F.when(n % 10 == 9, 3).otherwise(1 + n % 2)
+    bene = FX.raw_bene(spark, sf_dir)
+    for sample in (1, 2, 3):
+        for kind in ("IP", "OP", "BENE"):
+            wanted = {"IP": K.IP_COLS, "OP": K.OP_COLS, "BENE": bene.columns}[kind]
+            part = bene if kind == "BENE" else raw.filter((F.col("claim_type") == kind) & (of == sample))
+            cols = [c for c in wanted if c in part.columns]
+            if sample == 2:
+                cols = [c for c in reversed(cols) if c not in _LACKING[kind]]
+            path = f"{root}/{_FILES[kind].format(sample)}"
+            _write_csv(part.select(*cols), path)
+            if sample == 3 and kind == "OP":
+                spark.createDataFrame([(",".join(cols),), ("cut,short",)], "value string").coalesce(1).write.mode("append").text(path)
+    return root
+
+
+O.register("cs", "cs AS (SELECT cc.*, CASE WHEN CAST(claim_id AS BIGINT) % 10 = 9 THEN 3 ELSE 1 + CAST(claim_id AS BIGINT) % 2 END AS s FROM cc)", ["cc"])
+_CSV_SQL = """SELECT cs.* EXCLUDE (s) REPLACE (
+  CASE WHEN s = 2 AND claim_type = 'IP' THEN NULL ELSE OP_PHYSN_NPI END AS OP_PHYSN_NPI,
+  CASE WHEN s = 2 AND claim_type = 'IP' THEN NULL ELSE ICD9_PRCDR_CD_2 END AS ICD9_PRCDR_CD_2,
+  CASE WHEN s = 2 AND claim_type = 'OP' THEN NULL ELSE ICD9_DGNS_CD_3 END AS ICD9_DGNS_CD_3),
+ cb.* EXCLUDE (bene_id) REPLACE (CASE WHEN s = 2 THEN NULL ELSE SP_STRKETIA END AS SP_STRKETIA,
+  CASE WHEN s = 2 THEN NULL ELSE BENE_HMO_CVRAGE_TOT_MONS END AS BENE_HMO_CVRAGE_TOT_MONS), CAST(s AS INTEGER) AS sample_num
+FROM cs LEFT JOIN cb ON cs.bene_id = cb.bene_id WHERE s < 3"""
+
+
+@register("csv_ingest", O.with_ctes(["cs", "cb"], _CSV_SQL))
 def q_csv_ingest(spark, sf_dir):
-    """SRC-1..5: raw per-sample CSV files -> the 45-column claims_raw table."""
-    p = stage_raw_files(spark, sf_dir)
-    return SRC.load_claims_raw(spark, p["ip"], p["op"], p["bene"])
+    """SRC-1..5: raw CSV files of several samples, each with its own header -> the 45-column claims_raw table."""
+    return SMP.load(spark, SMP.stage(spark, stage_raw_files(spark, sf_dir), _SAMPLES), _SAMPLES)
+
+
+_RAW_N = ("SELECT CASE WHEN CAST(CLM_ID AS BIGINT) % 10 = 9 THEN 3 ELSE 1 + CAST(CLM_ID AS BIGINT) % 2 END AS s, claim_type AS kind, COUNT(*) AS n "
+          "FROM raw_claims GROUP BY 1, 2 UNION ALL SELECT s, 'BENE', COUNT(*) FROM raw_bene, (VALUES (1), (2), (3)) t(s) GROUP BY s")
+
+
+@register("sample_status", O.with_ctes(["raw_claims", "raw_bene"], f"""
+SELECT CAST(s AS INTEGER) AS sample_num, kind, CASE WHEN s = 4 THEN 'missing' WHEN s = 3 AND kind = 'OP' THEN 'failed' ELSE 'loaded' END AS status,
+ CAST(COALESCE(n, 0) + CASE WHEN s = 3 AND kind = 'OP' THEN 1 ELSE 0 END AS BIGINT) AS n_rows, CAST(CASE WHEN s = 3 AND kind = 'OP' THEN 1 ELSE 0 END AS BIGINT) AS n_bad,
+ CASE WHEN s = 4 THEN 'no file' WHEN s = 3 AND kind = 'OP' THEN '1 malformed records' ELSE '' END AS reason, s < 3 AS sample_loaded
+FROM (SELECT * FROM (VALUES (1), (2), (3), (4)) a(s), (VALUES ('BENE'), ('IP'), ('OP')) b(kind)) LEFT JOIN ({_RAW_N}) USING (s, kind)"""))
+def q_sample_status(spark, sf_dir):
+    """SRC-5: what became of every wanted sample: loaded, missing, or failed and why."""
+    return SMP.sample_status(spark, SMP.stage(spark, stage_raw_files(spark, sf_dir), _SAMPLES), _SAMPLES)
+
+
+@register("schema_drift", O.with_ctes(["raw_claims", "raw_bene"], "SELECT DISTINCT kind, s AS sample_num, c AS missing_column FROM (VALUES "
+                                      + ", ".join(f"('{k}', '{c}')" for k in ("IP", "OP", "BENE") for c in SMP.WANTED[k]) + ") w(kind, c), (VALUES (1), (2), (3)) t(s) "
+                                      "WHERE c NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM raw_claims)) AND c NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM raw_bene)) "
+                                      "OR s = 2 AND (kind, c) IN (VALUES " + ", ".join(f"('{k}', '{c}')" for k, cs in _LACKING.items() for c in cs) + ")"))
+def q_schema_drift(spark, sf_dir):
+    """SRC-4: wanted columns that the files of a sample don't have."""
+    found = SMP.discover(spark, stage_raw_files(spark, sf_dir), _SAMPLES)
+    paths = [r.path for r in found.filter("form = 'csv'").select("path").collect()]
+    return SMP.schema_drift(found, SMP.headers(spark, paths)).select("kind", "sample_num", "missing_column").distinct()
 
 
 @register("stream_scores", O.with_ctes(["f"], """

@@ -1,9 +1,6 @@
-"""Raw file sources: header CSV, CSV inside ZIP, survey file (SRC-1..9, SRC-12).
+"""Raw file sources: CSV inside ZIP, survey file, optional tables (SRC-2, SRC-6..9, SRC-12).
 
-* CSV: one distributed read per file kind; every column is read as text (no
-  inference: V- and E-codes break integer guesses) and the sample number
-  comes from the file path (``_metadata.file_path``), so all samples are one
-  scan.
+* CSV claim files: see ``samples``.
 * ZIP: archives are not splittable, so each archive is one task
   (``binaryFile`` + ``mapInPandas``) that streams its first CSV member in
   batches; the rows are repartitioned afterwards for parallelism. Spark's
@@ -25,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..operators import ingest
 from ..operators import survey as SV
 
 SAMPLE_PATTERN = r"Sample_(\d+)\.(?:csv|zip)"  # exact: sample 1 never matches sample 11
@@ -36,86 +32,54 @@ def sample_of_path(col=None):
     return F.regexp_extract(col, SAMPLE_PATTERN, 1).cast("int")
 
 
-def read_csv(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """SRC-1 + SRC-3: header CSV, all text, wanted columns that exist, sample number."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    present = [c for c in wanted if c in df.columns]
-    return df.select(*present, sample_of_path().alias("sample_num"))
+def read_zip_csv(spark: SparkSession, path: str | list[str], wanted: list[str], batch_rows: int = 50_000,
+                 partitions: int | None = None, bad: str | None = None) -> DataFrame:
+    """SRC-2: first CSV member of each ZIP, wanted columns as text.
 
-
-def schema_drift(spark: SparkSession, paths: list[str], wanted: list[str]) -> DataFrame:
-    """SRC-4: (file, missing column) rows. Reads only each file's header."""
-    rows = []
-    for p in paths:  # one header read per file: bounded by the file count
-        cols = set(spark.read.option("header", True).csv(p).columns)
-        rows += [(p, c) for c in wanted if c not in cols]
-    return spark.createDataFrame(rows, "file string, missing_column string")
-
-
-def read_zip_csv(spark: SparkSession, path: str, wanted: list[str], batch_rows: int = 50_000,
-                 partitions: int | None = None) -> DataFrame:
-    """SRC-2: first CSV member of each ZIP, wanted columns as text."""
+    With ``bad``, an archive that can't be read gives one row of nulls marked
+    in that column, instead of failing the job, and ``source_file`` is kept.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in wanted]
-                          + [T.StructField("source_file", T.StringType())])
+                          + [T.StructField("source_file", T.StringType()), T.StructField("__failed", T.BooleanType())])
 
     def parse(batches):
         for pdf in batches:
             for path_, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    name = next((n for n in zf.namelist() if n.lower().endswith(".csv")), None)
-                    if name is None:
-                        raise FileNotFoundError(f"no CSV inside {path_}")
-                    with zf.open(name) as fh:
-                        reader = csv.reader(io.TextIOWrapper(fh, encoding="utf-8", newline=""))
-                        header = next(reader)
-                        pos = {c: header.index(c) for c in wanted if c in header}
-                        buf: list[list] = []
-                        for rec in reader:
-                            buf.append([rec[pos[c]] if c in pos and pos[c] < len(rec) else None for c in wanted]
-                                       + [path_])
-                            if len(buf) >= batch_rows:
-                                yield pd.DataFrame(buf, columns=schema.fieldNames())
-                                buf = []
-                        if buf:
-                            yield pd.DataFrame(buf, columns=schema.fieldNames())
+                try:
+                    yield from members(path_, content)
+                except (zipfile.BadZipFile, FileNotFoundError, UnicodeDecodeError, csv.Error):
+                    if bad is None:
+                        raise
+                    yield pd.DataFrame([[None] * len(wanted) + [path_, True]], columns=schema.fieldNames())
+
+    def members(path_, content):
+        with zipfile.ZipFile(io.BytesIO(content)) as zf:
+            name = next((n for n in zf.namelist() if n.lower().endswith(".csv")), None)
+            if name is None:
+                raise FileNotFoundError(f"no CSV inside {path_}")
+            with zf.open(name) as fh:
+                reader = csv.reader(io.TextIOWrapper(fh, encoding="utf-8", newline=""))
+                header = next(reader, [])
+                pos = {c: header.index(c) for c in wanted if c in header}
+                buf: list[list] = []
+                for rec in reader:
+                    buf.append([rec[pos[c]] if c in pos and pos[c] < len(rec) else None for c in wanted] + [path_, False])
+                    if len(buf) >= batch_rows:
+                        yield pd.DataFrame(buf, columns=schema.fieldNames())
+                        buf = []
+                if buf:
+                    yield pd.DataFrame(buf, columns=schema.fieldNames())
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInPandas(parse, schema)
     n = partitions or spark.sparkContext.defaultParallelism
     # the CSV reader maps empty fields to null; do the same here
     rows = rows.select(*[F.when(F.col(c) == "", None).otherwise(F.col(c)).alias(c) for c in wanted],
-                       sample_of_path(F.col("source_file")).alias("sample_num"))
+                       sample_of_path(F.col("source_file")).alias("sample_num"),
+                       *([F.col("__failed").alias(bad), "source_file"] if bad else []))
     return rows.repartition(n)
 
 
-def read_any(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    return read_zip_csv(spark, path, wanted) if path.lower().endswith(".zip") else read_csv(spark, path, wanted)
-
-
-def load_claims_raw(spark: SparkSession, ip_path: str | None, op_path: str | None, bene_path: str) -> DataFrame:
-    """SRC-5 + SET-1 + JOIN-1: all samples of IP and OP claims in one plan.
-
-    Missing kinds are skipped; no claim file at all is an error. Claims join
-    beneficiaries of the same sample.
-    """
-    frames = []
-    for kind, path, wanted in (("IP", ip_path, K.IP_COLS), ("OP", op_path, K.OP_COLS)):
-        if path:
-            raw = read_any(spark, path, wanted)
-            frames.append(ingest.clean_claims(raw, kind=kind))
-    if not frames:
-        raise RuntimeError("no claim files found")
-    claims = ingest.union_claims(frames)
-    bene_raw = read_any(spark, bene_path, K.BENE_COLS)
-    bene = ingest.clean_bene(bene_raw)
-    return ingest.join_beneficiaries(claims, bene).select(*ingest.CLAIMS_RAW_COLUMNS)
-
-
-def sample_status(claims_raw: DataFrame) -> DataFrame:
-    """SRC-5: rows per (sample, claim type) after loading."""
-    return claims_raw.groupBy("sample_num", "claim_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def survey_rates_from_path(spark: SparkSession, path: str | None) -> DataFrame:
     """SRC-6..9: survey file rates, or the literature table with the reason."""
     if not path:

@@ -18,9 +18,12 @@ def _same(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_csv_ingest_equals_adapter_plan(spark, sf_small):
+def test_csv_ingest_has_the_claims_of_good_samples(spark, sf_small):
     got = C.QUERIES["csv_ingest"](spark, sf_small)
-    assert _same(got, P.claims_raw(spark, sf_small))
+    want = P.claims_raw(spark, sf_small).filter(F.col("claim_id").cast("long") % 10 != 9)
+    same = [c for c in want.columns if c not in ("sample_num", *sum(C._LACKING.values(), []))]
+    assert _same(got.select(same), want.select(same))
+    assert _same(got.filter("sample_num = 1"), want.filter(F.col("claim_id").cast("long") % 2 == 0))
 
 
 def test_zip_member_reader(spark, sf_small):
@@ -42,10 +45,7 @@ def test_zip_member_reader(spark, sf_small):
     assert _same(a, b)
 
 
-def test_schema_drift_and_survey_fallback(spark, sf_small):
-    p = C.stage_raw_files(spark, sf_small)
-    drift = {r.missing_column for r in SRC.schema_drift(spark, [p["op"]], K.OP_COLS).collect()}
-    assert "HCPCS_CD_2" in drift and "CLM_ID" not in drift
+def test_survey_fallback(spark, sf_small):
     assert SRC.survey_rates_from_path(spark, None).first().source == "meps_literature"
     d = tempfile.mkdtemp(prefix="claimspark-survey-", dir="/tmp")
     FX.raw_survey(spark, sf_small).drop("UNABL42", "DELAY42", "NOPROB42").write.option("header", True).csv(d + "/s")
