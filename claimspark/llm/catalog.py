@@ -279,7 +279,7 @@ def _leading(a: str, b: str) -> str:
 
 
 def _points(leaves: str) -> str:
-    return f"coalesce(list_sum(list_transform({leaves}, lambda x: split_part(x, '.', 2)::BIGINT)), 0)::BIGINT"
+    return f"coalesce(list_sum(list_transform({leaves}, lambda x: x % 64)), 0)::BIGINT"
 
 
 def _dice(a: str, b: str) -> str:
@@ -302,13 +302,13 @@ s AS (
                            lambda x: sha256(x)) AS sections FROM g),
 m AS MATERIALIZED (
   SELECT t, sha256(coalesce(array_to_string(sections, ''), '')) AS root, list_transform(sections, lambda x: x[:{fingerprints.DIGITS}]) AS sections,
-         list_transform(pieces, lambda x: x[:{fingerprints.LEAF_DIGITS}] || x[65:-2]) AS leaves FROM s),
+         list_transform(pieces, lambda x: (('0x' || x[:8])::BIGINT >> {32 - fingerprints.LEAF_BITS}) * 64 + x[66:-2]::BIGINT) AS leaves FROM s),
 j AS (
   SELECT e.*, a, b, c, {_leading('a.leaves', 'b.leaves')} AS front, {_leading('list_reverse(a.leaves)', 'list_reverse(b.leaves)')} AS back
   FROM e JOIN m a ON a.t = e.t JOIN m b ON b.t = e.edited JOIN m c ON c.t = e.follow)
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
-       a.root || ';' || coalesce(array_to_string(a.sections, ','), '') || ';' || coalesce(array_to_string(a.leaves, ','), '') AS fingerprint,
-       b.root || ';' || coalesce(array_to_string(b.sections, ','), '') || ';' || coalesce(array_to_string(b.leaves, ','), '') AS edited_fingerprint,
+       a.root || ';' || coalesce(array_to_string(a.sections, ','), '') || ';' || coalesce(array_to_string(list_transform(a.leaves, lambda x: lower(to_hex(x))), ','), '') AS fingerprint,
+       b.root || ';' || coalesce(array_to_string(b.sections, ','), '') || ';' || coalesce(array_to_string(list_transform(b.leaves, lambda x: lower(to_hex(x))), ','), '') AS edited_fingerprint,
        {_dice('a', 'b')} AS near_edited, {_dice('a', 'c')} AS near_next, len(a.sections)::INT AS n_sections,
        len(list_filter(list_distinct(b.sections), lambda x: NOT list_contains(a.sections, x)))::INT AS sections_changed,
        front AS edit_start, n - least(back, n - front) AS edit_end

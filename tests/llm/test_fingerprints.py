@@ -20,11 +20,15 @@ def tree(text):
     marked = [f"{sha(p)}.{len(p)}{'/' if p.endswith(chr(10)) else '-'}" for p in pieces]
     paragraphs = [sha(x) for x in "".join(marked).split("/") if x]
     sections = [sha(x) for x in "".join(p + ("|" if p < "4" else "-") for p in paragraphs).split("|") if x]
-    return sha("".join(sections)), [s[:fp.DIGITS] for s in sections], [m[:fp.LEAF_DIGITS] + m[64:-1] for m in marked]
+    return sha("".join(sections)), [s[:fp.DIGITS] for s in sections], [(int(m[:8], 16) >> 32 - fp.LEAF_BITS) * 64 + int(m[65:-1]) for m in marked]
 
 
 def points(leaves):
-    return sum(int(x.split(".")[1]) for x in leaves)
+    return sum(x % 64 for x in leaves)
+
+
+def written(t):
+    return ";".join([t[0], ",".join(t[1]), ",".join(f"{x:x}" for x in t[2])])
 
 
 def near(a, b):
@@ -47,7 +51,7 @@ def brute_force(rows):
         edited = text[:n - n // 4] + follow[:n // 4]
         a, b, c = tree(text), tree(edited), tree(follow)
         front = ends(a[2], b[2])
-        out.append((doc_id, n, sha(edited), ";".join([a[0], ",".join(a[1]), ",".join(a[2])]), ";".join([b[0], ",".join(b[1]), ",".join(b[2])]), near(a, b), near(a, c),
+        out.append((doc_id, n, sha(edited), written(a), written(b), near(a, b), near(a, c),
                     len(a[1]), len(set(b[1]) - set(a[1])), front, n - min(ends(a[2][::-1], b[2][::-1]), n - front)))
     return Counter(out)
 
