@@ -326,8 +326,9 @@ OVERRIDE_REASON_MIN_LEN = 5
 AUDIT_REASON_DISPLAY_LEN = 35
 
 # --- fixed values: model defaults (config) ----------------------------------
-GBT_PARAMS = {"maxIter": 50, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8}
-RF_PARAMS = {"numTrees": 50, "maxDepth": 6, "subsamplingRate": 0.8}
+GBT_PARAMS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8}
+RF_PARAMS = {"numTrees": 500, "maxDepth": 6, "subsamplingRate": 0.8}
+EARLY_STOPPING_ROUNDS = 20
 TEST_FRACTION = 0.2
 SPLIT_SEED = 42
 SHAP_SAMPLE_SIZE = 2000

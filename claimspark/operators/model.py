@@ -2,8 +2,11 @@
 
 Training runs on the executors through ``Pipeline.fit``. Missing feature
 values become the sentinel -9999 (MLlib trees reject NaN), which gives them
-their own bin at the low end of every feature. Early stopping watches a
-validation slice carved out of the training split (never the test split).
+their own bin at the low end of every feature.
+
+Early stopping is on AUC, as in the source: every prefix of the ensemble is
+scored on the evaluation rows in one pass, and the model is cut after the best
+one, once ``patience`` further rounds bring nothing better (see ``early_stopped``).
 """
 
 from __future__ import annotations
@@ -12,16 +15,16 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from .. import constants as K
-from ..functions.mathx import hash_uniform
 from . import metrics as ME
 from .sampling import with_split
 
@@ -35,7 +38,7 @@ def model_input(df: DataFrame, label: str | None = "denial_label", carry: tuple[
     ``carry`` keeps extra input columns alongside (so later steps need no join).
     """
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(K.MISSING_SENTINEL)).alias(f"x_{c}") for c in K.FEATURE_COLS]
-    keep = [c for c in ("claim_id", "bene_id", "split", "is_val", "weight", *carry) if c in df.columns]
+    keep = [c for c in ("claim_id", "bene_id", "split", "weight", *carry) if c in df.columns]
     if label and label in df.columns:
         keep.append(F.col(label).cast("double").alias("label"))
     return df.select(*keep, *cols)
@@ -46,27 +49,16 @@ def assembler() -> VectorAssembler:
                            handleInvalid="error")
 
 
-def training_frame(features: DataFrame, val_fraction: float = 0.1) -> DataFrame:
-    """Split column, validation flag (inside train only) and class weights."""
-    df = with_split(features)
-    u = hash_uniform(F.col("claim_id"), "val-42")
-    df = df.withColumn("is_val", (F.col("split") == "train") & (u < val_fraction))
-    return df
-
+def training_frame(features: DataFrame) -> DataFrame:
+    """The train / test split; the fit takes all training rows, and the test rows judge when to stop."""
+    return with_split(features)
 
-def champion(max_iter: int = K.GBT_PARAMS["maxIter"], early_stopping: bool = False, **kw) -> GBTClassifier:
-    """ML-1: boosted trees; positive rows weighted by neg/pos (class ratio).
 
-    MLlib adds its first tree at full weight, so on a noisy label validation
-    loss rises from the second tree on and validation-based stopping keeps a
-    single tree. By default the full ``max_iter`` rounds are trained;
-    ``early_stopping=True`` watches the validation slice instead.
-    """
+def champion(max_iter: int = K.GBT_PARAMS["maxIter"], **kw) -> GBTClassifier:
+    """ML-1: boosted trees; positive rows weighted by neg/pos (class ratio)."""
     p = dict(maxDepth=K.GBT_PARAMS["maxDepth"], stepSize=K.GBT_PARAMS["stepSize"],
              subsamplingRate=K.GBT_PARAMS["subsamplingRate"], featureSubsetStrategy="0.8", seed=K.SPLIT_SEED,
              cacheNodeIds=True, checkpointInterval=10)
-    if early_stopping:
-        p.update(validationIndicatorCol="is_val", validationTol=0.0)
     p.update(kw)
     return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, **p)
 
@@ -85,6 +77,8 @@ class Trained:
     name: str
     model: PipelineModel
     params: dict
+    best_iteration: int = 0
+    history: tuple = ()  # AUC on the evaluation rows after each round
 
 
 #: Rows of a training partition, about. The data decide the number, so that a model doesn't depend on the cluster.
@@ -106,45 +100,137 @@ def _class_counts(train: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def fit_champion(train_frame: DataFrame, max_iter: int = 50, early_stopping: bool = False) -> Trained:
-    train = train_frame.filter(F.col("split") == "train")  # ``is_val`` rows validate when stopping early, and are fitted otherwise
+#: Rounds of the first fit; each further fit doubles them, so all fits together cost at most twice the last one.
+FIRST_ROUNDS = 40
+#: Steps of a score in the evaluation histograms: an AUC is exact but for ties within a step.
+SCORE_STEPS = 1 << 16
+
+
+def prefix_auc(trees: TreeArrays, rows: DataFrame) -> list[float]:
+    """AUC of the first 1, 2, ... trees on labelled ``model_input`` rows.
+
+    One pass: each task adds the trees' outputs up row by row and keeps, for
+    every prefix, positives and negatives by score step; the histograms (at
+    most trees x ``SCORE_STEPS`` rows, whatever the data) are summed and ranked
+    by Spark.
+    """
+    xcols = [f"x_{c}" for c in K.FEATURE_COLS]
+    n_trees = len(trees.roots)
+
+    def tally(batches):
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            y = pdf["label"].to_numpy(dtype=float) > 0.5
+            for k, p in enumerate(prefix_scores(trees, pdf[xcols].to_numpy(dtype=float)).T):
+                step = np.minimum((p * SCORE_STEPS).astype(np.int64), SCORE_STEPS - 1)
+                keys, n = np.unique(step << 1 | y, return_counts=True)
+                held[k] = np.concatenate([held.get(k, np.empty((0, 2), np.int64)), np.stack([keys, n], 1)])
+                if len(held[k]) > 4 * SCORE_STEPS:
+                    held[k] = _merged(held[k])
+        for k, part in held.items():
+            keys, n = _merged(part).T
+            pos = keys & 1
+            yield pd.DataFrame({"k": k, "step": keys >> 1, "pos": n * pos, "neg": n * (1 - pos)})
+
+    steps = rows.select("label", *xcols).mapInPandas(tally, "k int, step long, pos long, neg long")
+    steps = steps.groupBy("k", "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    of = Window.partitionBy("k")  # SCORE_STEPS rows at most
+    below = F.coalesce(F.sum("neg").over(of.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = steps.select("k", "pos", "neg", (F.col("pos") * (below + 0.5 * F.col("neg"))).alias("won"))
+    auc = won.groupBy("k").agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    found = {r.k: r.auc for r in auc.collect()}  # a row per tree
+    return [found.get(k) if found.get(k) is not None else 0.5 for k in range(n_trees)]
+
+
+def _merged(part: np.ndarray) -> np.ndarray:
+    keys, at = np.unique(part[:, 0], return_inverse=True)
+    return np.stack([keys, np.bincount(at, weights=part[:, 1]).astype(np.int64)], 1)
+
+
+def best_round(history: list[float], patience: int) -> tuple[int, bool]:
+    """(the best round, from 0; whether ``patience`` rounds after it brought nothing better)."""
+    best = 0
+    for k, auc in enumerate(history):
+        if auc > history[best]:
+            best = k
+        elif k - best >= patience:
+            return best, True
+    return best, False
+
+
+def early_stopped(fit, rows: DataFrame, eval_rows: DataFrame, path: str, most: int, patience: int = K.EARLY_STOPPING_ROUNDS,
+                  first: int = FIRST_ROUNDS) -> tuple[PipelineModel, int, list[float]]:
+    """Model cut after its best round, that round (from 0), and the AUC after every round.
+
+    ``fit(rounds)`` gives an estimator whose ensemble begins with the trees of
+    the one for fewer rounds (equal seeds). Without improvement for
+    ``patience`` rounds training ends; else the rounds are doubled, up to ``most``.
+    """
+    rounds = min(first, most)
+    while True:
+        model = Pipeline(stages=[assembler(), fit(rounds)]).fit(rows)
+        model.write().overwrite().save(path)
+        spark = rows.sparkSession
+        trees = tree_arrays(spark, path, model)
+        history = prefix_auc(trees, eval_rows)
+        best, done = best_round(history, patience)
+        if done or rounds >= most or len(history) < rounds:
+            return (model if best + 1 == len(history) else cut(spark, path, model, best + 1)), best, history
+        rounds = min(2 * rounds, most)
+
+
+def cut(spark: SparkSession, path: str, model: PipelineModel, n: int) -> PipelineModel:
+    """The saved model with the first ``n`` trees of its ensemble, written beside it and loaded."""
+    idx, last = len(model.stages) - 1, model.stages[-1]
+    src, out = f"{path}/stages/{idx}_{last.uid}", f"{path}-first-{n}"
+    nodes = spark.read.parquet(f"{src}/data").filter(F.col("treeID") < n)
+    nodes.write.mode("overwrite").parquet(f"{out}/data")
+    spark.read.parquet(f"{src}/treesMetadata").filter(F.col("_1") < n).coalesce(1).write.mode("overwrite").parquet(f"{out}/treesMetadata")
+    meta = spark.read.text(f"{src}/metadata").select(F.regexp_replace("value", r'"numTrees":\d+', f'"numTrees":{n}').alias("value"))
+    meta.coalesce(1).write.mode("overwrite").text(f"{out}/metadata")
+    return PipelineModel([*model.stages[:-1], type(last).load(out)])
+
+
+def _trained(name: str, fit, train: DataFrame, n: int, frame: DataFrame, path: str, most: int, params: dict) -> Trained:
+    data = _spread(model_input(train), n)
+    held_out = model_input(frame.filter(F.col("split") == "test"))
+    model, best, history = early_stopped(fit, data, held_out, path, most)
+    data.unpersist()
+    est = fit(most)
+    params |= {"maxDepth": str(est.getMaxDepth()), "subsamplingRate": str(est.getSubsamplingRate()), "n_rows": str(n),
+               "n_trees": str(model.stages[-1].getNumTrees), "best_iteration": str(best), "rounds_trained": str(len(history))}
+    return Trained(name, model, params, best, tuple(history))
+
+
+def fit_champion(frame: DataFrame, path: str, max_iter: int = K.GBT_PARAMS["maxIter"]) -> Trained:
+    """ML-1 on all training rows, stopped early on the test rows' AUC. ``path``: where the ensemble is saved."""
+    train = frame.filter(F.col("split") == "train")
     n_pos, n = _class_counts(train)
     ratio = (n - n_pos) / max(n_pos, 1)  # AGG-12 scale_pos_weight
-    data = model_input(train.withColumn("weight", F.when(F.col("denial_label") == 1, F.lit(ratio))
-                                                   .otherwise(F.lit(1.0))))
-    est = champion(max_iter=max_iter, early_stopping=early_stopping)
-    data = _spread(data, n)
-    model = Pipeline(stages=[assembler(), est]).fit(data)
-    data.unpersist()
-    params = {"model": "gbt", "maxIter": str(max_iter), "maxDepth": str(est.getMaxDepth()),
-              "stepSize": str(est.getStepSize()), "subsamplingRate": str(est.getSubsamplingRate()),
-              "scale_pos_weight": f"{ratio:.6f}", "n_trees": str(model.stages[-1].getNumTrees)}
-    return Trained("champion", model, params)
+    weighted = train.withColumn("weight", F.when(F.col("denial_label") == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
+    params = {"model": "gbt", "maxIter": str(max_iter), "stepSize": str(K.GBT_PARAMS["stepSize"]), "scale_pos_weight": f"{ratio:.6f}"}
+    return _trained("champion", lambda rounds: champion(max_iter=rounds), weighted, n, frame, path, max_iter, params)
 
 
-def fit_challenger(train_frame: DataFrame, num_trees: int = 50) -> Trained:
-    train = ME.with_class_weight(train_frame.filter(F.col("split") == "train"))
-    est = challenger(num_trees=num_trees)
-    data = _spread(model_input(train), train.count())
-    model = Pipeline(stages=[assembler(), est]).fit(data)
-    data.unpersist()
-    params = {"model": "random_forest", "numTrees": str(num_trees), "maxDepth": str(est.getMaxDepth()),
-              "subsamplingRate": str(est.getSubsamplingRate()), "class_weight": "balanced"}
-    return Trained("challenger", model, params)
+def fit_challenger(frame: DataFrame, path: str, num_trees: int = K.RF_PARAMS["numTrees"]) -> Trained:
+    """ML-2 on all training rows, grown until more trees don't raise the test rows' AUC."""
+    train = frame.filter(F.col("split") == "train")
+    _, n = _class_counts(train)
+    params = {"model": "random_forest", "numTrees": str(num_trees), "class_weight": "balanced"}
+    return _trained("challenger", lambda trees: challenger(num_trees=trees), ME.with_class_weight(train), n, frame, path, num_trees, params)
 
 
-def score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """ML-6: probability of class 1, action and risk level per claim."""
-    scored = model.transform(model_input(features, label=None))
-    out = scored.select(*[c for c in ("claim_id", "bene_id", "split") if c in scored.columns],
+def score(model: PipelineModel, features: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """ML-6: probability of class 1, action and risk level per claim; ``carry`` keeps further input columns."""
+    scored = model.transform(model_input(features, label=None, carry=carry))
+    out = scored.select(*[c for c in ("claim_id", "bene_id", "split", *carry) if c in scored.columns],
                         vector_to_array("probability")[1].alias("prediction_prob"))
     return ME.decisions(out)
 
 
 def evaluate(model: PipelineModel, labelled: DataFrame) -> DataFrame:
-    """ML-3: metrics per split (train/test) for one model."""
-    scored = score(model, labelled).join(labelled.select("claim_id", "denial_label"), "claim_id")
-    scored = scored.withColumn("score", F.round("prediction_prob", 10))
+    """ML-3: metrics per split (train/test) for one model; the label is carried through the scoring."""
+    scored = score(model, labelled, carry=("denial_label",)).withColumn("score", F.round("prediction_prob", 10))
     auc = ME.roc_auc_ap(scored)
     conf = ME.confusion(scored)
     return auc.join(conf, "split").join(ME.f1_precision_recall(conf), "split")
@@ -175,8 +261,8 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
 
 
 def run_record(spark: SparkSession, trained: Trained, metrics: DataFrame, artifact: str = "") -> DataFrame:
-    """SNK-3: one `runs` row: params and scalar metrics (train_/test_ prefixed)."""
-    vals: dict[str, float] = {}
+    """SNK-3: one `runs` row: params and scalar metrics (train_/test_ prefixed, and the best iteration)."""
+    vals: dict[str, float] = {"best_iteration": float(trained.best_iteration)}
     for r in metrics.collect():  # one row per split: bounded (2 rows)
         for k, v in r.asDict().items():
             if k != "split" and v is not None:
@@ -205,17 +291,21 @@ class TreeArrays:
     cover: np.ndarray     # weighted training count reaching the node
     roots: np.ndarray     # root node index per tree
     weights: np.ndarray   # tree weight in the ensemble
-    scale: float          # margin -> log-odds factor (2 for MLlib GBT)
+    scale: float          # margin -> log-odds factor (2 for MLlib GBT; 0: a forest, whose outputs are averaged probabilities)
 
 
 def tree_arrays(spark: SparkSession, model_path: str, model: PipelineModel | None = None) -> TreeArrays:
-    """Read the saved GBT stage's node table (bounded by the tree budget)."""
+    """Read the saved ensemble's node table (bounded by the tree budget); ``model``: the pipeline that ``model_path`` holds.
+
+    A forest's node value is its share of class 1.
+    """
     model = model or PipelineModel.load(model_path)
     idx = len(model.stages) - 1
     base = f"{model_path}/stages/{idx}_{model.stages[-1].uid}"
     nodes = spark.read.parquet(f"{base}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold")
+    boosted = isinstance(model.stages[-1], GBTClassificationModel)
     # treesMetadata columns: _1 tree id, _2 tree params json, _3 tree weight
     meta = spark.read.parquet(f"{base}/treesMetadata").collect()
     tw = {int(r["_1"]): float(r["_3"]) for r in meta}
@@ -232,8 +322,9 @@ def tree_arrays(spark: SparkSession, model_path: str, model: PipelineModel | Non
         offset.setdefault(r["treeID"], i)
     for i, r in enumerate(rows):
         off = offset[r["treeID"]]
-        value[i] = r["prediction"]
-        cover[i] = r["impurityStats"][0]
+        stats = r["impurityStats"]
+        value[i] = r["prediction"] if boosted else stats[1] / max(sum(stats), 1e-300)
+        cover[i] = stats[0] if boosted else sum(stats)
         if r["leftChild"] >= 0:
             feature[i] = r["featureIndex"]
             threshold[i] = r["leftCategoriesOrThreshold"][0]
@@ -241,7 +332,7 @@ def tree_arrays(spark: SparkSession, model_path: str, model: PipelineModel | Non
             right[i] = off + r["rightChild"]
     trees = sorted(offset)
     return TreeArrays(feature, threshold, left, right, value, cover,
-                      np.array([offset[t] for t in trees]), np.array([tw[t] for t in trees]), 2.0)
+                      np.array([offset[t] for t in trees]), np.array([tw[t] for t in trees]), 2.0 if boosted else 0.0)
 
 
 def _flat(t: TreeArrays):
@@ -262,18 +353,29 @@ def _flat(t: TreeArrays):
     return feat, thr, child, depth
 
 
-def predict_margin(t: TreeArrays, X: np.ndarray) -> np.ndarray:
-    """Ensemble margin for rows of X: all trees advance one level per step."""
+def _leaf_values(t: TreeArrays, X: np.ndarray) -> np.ndarray:
+    """(rows, trees) outputs of every tree: all trees advance one level per step."""
     feat, thr, child, depth = _flat(t)
     n, p = X.shape
     Xf = np.ascontiguousarray(X).ravel()
     base = (np.arange(n) * p)[:, None]
-    node = np.broadcast_to(t.roots, (n, len(t.roots))).copy()   # (rows, trees)
+    node = np.broadcast_to(t.roots, (n, len(t.roots))).copy()
     for _ in range(depth):
         go_right = Xf[base + feat[node]] > thr[node]
         node = child[2 * node + go_right]
-    return t.value[node] @ t.weights
+    return t.value[node]
+
+
+def predict_margin(t: TreeArrays, X: np.ndarray) -> np.ndarray:
+    """Ensemble margin for rows of X."""
+    return _leaf_values(t, X) @ t.weights
 
 
 def predict_proba(t: TreeArrays, X: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-t.scale * predict_margin(t, X)))
+
+
+def prefix_scores(t: TreeArrays, X: np.ndarray) -> np.ndarray:
+    """(rows, trees) probabilities of class 1 after the first 1, 2, ... trees."""
+    total = np.cumsum(_leaf_values(t, X) * t.weights, axis=1)
+    return 1.0 / (1.0 + np.exp(-t.scale * total)) if t.scale else total / np.cumsum(t.weights)

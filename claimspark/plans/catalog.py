@@ -502,6 +502,30 @@ def q_gbt_metrics(spark, sf_dir):
     return M.metrics(spark, sf_dir, "champion").unionByName(M.metrics(spark, sf_dir, "challenger"))
 
 
+@register("training_rows", O.with_ctes(["sp"], """
+SELECT m AS model, COUNT(*) AS n_rows, TRUE AS stopped_in_bounds, TRUE AS best_is_first_maximum, TRUE AS cut_after_best
+FROM sp, (VALUES ('champion'), ('challenger')) t(m) WHERE split = 'train' GROUP BY m"""))
+def q_training_rows(spark, sf_dir):
+    """ML-1, ML-2: rows that each model is fitted on (all training rows), and that its rounds end where they should."""
+    rows = []
+    for name in ("champion", "challenger"):
+        t = M.trained(spark, sf_dir, name)
+        most = int(t.params.get("maxIter") or t.params["numTrees"])
+        later = t.history[t.best_iteration + 1:]
+        rows.append((name, int(t.params["n_rows"]), len(t.history) <= most and (len(t.history) == most or len(later) >= K.EARLY_STOPPING_ROUNDS),
+                     max(t.history[:t.best_iteration + K.EARLY_STOPPING_ROUNDS + 1]) == t.history[t.best_iteration] > max((0.0, *t.history[:t.best_iteration])),
+                     t.model.stages[-1].getNumTrees == t.best_iteration + 1))
+    return spark.createDataFrame(rows, "model string, n_rows long, stopped_in_bounds boolean, best_is_first_maximum boolean, cut_after_best boolean")
+
+
+@register("training_history")
+def q_training_history(spark, sf_dir):
+    """ML-1, ML-2: AUC on the test rows after every round, and which round is kept."""
+    rows = [(name, k, round(auc, 6), k == t.best_iteration) for name in ("champion", "challenger")
+            for t in [M.trained(spark, sf_dir, name)] for k, auc in enumerate(t.history)]
+    return spark.createDataFrame(rows, "model string, iteration int, auc double, is_best boolean")
+
+
 @register("gbt_importance")
 def q_gbt_importance(spark, sf_dir):
     return MD.importance(spark, M.trained(spark, sf_dir, "champion"))

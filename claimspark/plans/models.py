@@ -30,7 +30,7 @@ def _key(spark, sf_dir, what):
 def model_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    return f"{root}/models/{tag}/{name}"
+    return f"{root}/models/{spark.sparkContext.applicationId}/{tag}/{name}"
 
 
 def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,8 @@ def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained(spark: SparkSession, sf_dir: str, name: str) -> MD.Trained:
     k = _key(spark, sf_dir, name)
     if k not in _CACHE:
-        tf = train_frame(spark, sf_dir)
-        t = MD.fit_champion(tf, K.GBT_PARAMS["maxIter"]) if name == "champion" else \
-            MD.fit_challenger(tf, K.RF_PARAMS["numTrees"])
+        fit = MD.fit_champion if name == "champion" else MD.fit_challenger
+        t = fit(train_frame(spark, sf_dir), model_dir(spark, sf_dir, f"{name}-rounds"))
         MD.save(t, model_dir(spark, sf_dir, name))
         _CACHE[k] = t
     return _CACHE[k]
