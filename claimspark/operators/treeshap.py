@@ -130,9 +130,7 @@ def tree_shap(features: DataFrame, t: TreeArrays) -> DataFrame:
             out.insert(0, "claim_id", pdf["claim_id"].to_numpy())
             yield out
 
-    src = model_input(features, label=None).select("claim_id", "bene_id", *xcols)
-    parts = max(src.sparkSession.sparkContext.defaultParallelism * 2, 1)
-    return src.repartition(parts, "claim_id").mapInPandas(run, OUT_SCHEMA)
+    return model_input(features, label=None).select("claim_id", "bene_id", *xcols).mapInPandas(run, OUT_SCHEMA)
 
 
 WHATIF_SCHEMA = ("claim_id string, prob_original double, prob_corrected double, abs_change double, "
@@ -168,6 +166,4 @@ def what_if(features: DataFrame, t: TreeArrays, corrections: dict, focus: str =
                 "action_original": np.where(p0 > K.DENY_THRESHOLD, "DENY", "APPROVE"),
                 "action_corrected": np.where(p1 > K.DENY_THRESHOLD, "DENY", "APPROVE")})
 
-    src = model_input(features, label=None).select("claim_id", *xcols)
-    parts = max(src.sparkSession.sparkContext.defaultParallelism * 2, 1)
-    return src.repartition(parts, "claim_id").mapInPandas(run, WHATIF_SCHEMA)
+    return model_input(features, label=None).select("claim_id", *xcols).mapInPandas(run, WHATIF_SCHEMA)

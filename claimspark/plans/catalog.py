@@ -488,7 +488,7 @@ def q_scorecard_letters(spark, sf_dir):
 
 # --- slices 8-9: trained models, Tree SHAP, LIME (rows-only checks) -----------
 from . import models as M  # noqa: E402
-from ..operators import lime as LM  # noqa: E402
+from ..operators import explain as EX  # noqa: E402
 from ..operators import model as MD  # noqa: E402
 
 
@@ -549,19 +549,11 @@ def q_lime_reasons(spark, sf_dir):
 @register("shap_lime_agreement")
 def q_shap_lime_agreement(spark, sf_dir):
     """XAI-7: share of explained claims whose top SHAP and top LIME feature agree."""
-    top_shap = SH.top_drivers(M.tree_shap(spark, sf_dir), k=1).select("claim_id", F.col("feature").alias("f_shap"))
-    top_lime = M.lime_reasons(spark, sf_dir).filter(F.col("rank") == 1).select("claim_id",
-                                                                               F.col("feature").alias("f_lime"))
-    j = top_lime.join(top_shap, "claim_id")
-    return j.agg(F.count(F.lit(1)).alias("n_claims"),
-                 F.sum((F.col("f_shap") == F.col("f_lime")).cast("long")).alias("n_agree"),
-                 F.round(F.avg((F.col("f_shap") == F.col("f_lime")).cast("double")), 4).alias("agreement_rate"))
+    return EX.agreement(M.explained(spark, sf_dir))
 
 
 def _model_letters(spark, sf_dir):
-    shap = M.tree_shap(spark, sf_dir)
-    lime = LM.reasons_per_claim(M.lime_reasons(spark, sf_dir))
-    return RP.letters(shap, today=LETTER_DATE, lime=lime, model_name="Spark ML GBT (champion)")
+    return RP.letters(M.explained(spark, sf_dir), today=LETTER_DATE, model_name="Spark ML GBT (champion)")
 
 
 @register("letters_complete", O.with_ctes(["cr"], "SELECT COUNT(*) AS n_claims, 0 AS null_letters, 0 AS null_summaries FROM cr"))
@@ -575,10 +567,22 @@ def q_letters_complete(spark, sf_dir):
 @register("lime_coverage", O.with_ctes(["cr"], "SELECT COUNT(*) AS n_claims, COUNT(*) AS n_explained FROM cr"))
 def q_lime_coverage(spark, sf_dir):
     """Claims, and claims that LIME explains."""
-    explained = M.lime_reasons(spark, sf_dir).filter("rank = 1").agg(F.count(F.lit(1)).alias("n_explained"))
-    # two one-row results side by side
-    return P.claims_raw(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_claims")).withColumn("k", F.lit(1)).join(
-        explained.withColumn("k", F.lit(1)), "k").drop("k")
+    return M.explained(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(F.size("reasons") > 0).alias("n_explained"))
+
+
+@register("explanation_checks", O.with_ctes(["cr"], "SELECT COUNT(*) AS n_claims, 0 AS not_additive, 0 AS wrong_probability, 0 AS wrong_reason_count, 0 AS wrong_order, "
+                                                    "0 AS wrong_direction, 0 AS wrong_local_prediction FROM cr"))
+def q_explanation_checks(spark, sf_dir):
+    """What must hold for every claim: base + attributions = log-odds, the probability is its sigmoid and the model's own,
+    ten reasons by falling size with their directions, and a local prediction near LIME's probability scale."""
+    e = M.explained(spark, sf_dir).join(M.gbt_score(spark, sf_dir).select("claim_id", F.col("prediction_prob").alias("p")), "claim_id")
+    total = sum((F.col(f"phi_{f}") for f in K.FEATURE_COLS), F.col("base_value"))
+    sizes = F.transform("reasons", lambda r: F.round(F.abs(r["coeff"]), 12))
+    bad = {"not_additive": F.abs(total - F.col("log_odds")) > 1e-9, "wrong_probability": F.abs(1 / (1 + F.exp(-total)) - F.col("p")) > 1e-9,
+           "wrong_reason_count": F.size("reasons") != K.LIME_NUM_FEATURES, "wrong_order": sizes != F.reverse(F.array_sort(sizes)),
+           "wrong_direction": F.exists("reasons", lambda r: (r["direction"] == "increases_denial") != (r["coeff"] > 0)),
+           "wrong_local_prediction": ~F.col("local_pred").between(-1.0, 2.0)}
+    return e.agg(F.count(F.lit(1)).alias("n_claims"), *[F.count_if(c).cast("int").alias(k) for k, c in bad.items()])
 
 
 @register("member_letters")

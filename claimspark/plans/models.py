@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators import explain as EX
 from ..operators import lime as LM
 from ..operators import model as MD
 from ..operators import treeshap as TS
@@ -86,10 +87,10 @@ def lime_profile(spark: SparkSession, sf_dir: str) -> dict:
     return _CACHE[k]
 
 
-def explained_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims the letters explain with LIME: all of them, approved or not."""
-    return P.claims_features(spark, sf_dir).select("claim_id", *K.FEATURE_COLS)
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree SHAP and LIME of every claim, approved or not, in its row."""
+    return EX.explain(P.claims_features(spark, sf_dir), tree_arrays(spark, sf_dir), lime_profile(spark, sf_dir))
 
 
 def lime_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LM.lime_reasons(explained_claims(spark, sf_dir), lime_profile(spark, sf_dir), tree_arrays(spark, sf_dir))
+    return EX.reason_rows(explained(spark, sf_dir))

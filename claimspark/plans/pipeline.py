@@ -35,6 +35,7 @@ def claims_raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TABLES: dict[tuple[str, str, str], str] = {}
+ROW_GROUP_BYTES = 8 << 20
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -49,8 +50,9 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     if key not in _TABLES:
         root = ensure_checkpoint_dir(spark).rstrip("/")
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-        path = f"{root}/tables/{tag}/{name}"
-        build().write.mode("overwrite").partitionBy("sample_num").parquet(path)
+        path = f"{root}/tables/{spark.sparkContext.applicationId}/{tag}/{name}"
+        # small row groups: a reader that works hard on every row (the explainers) can be split finely by spark.sql.files.maxPartitionBytes
+        build().write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("sample_num").parquet(path)
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])
 

@@ -40,8 +40,7 @@ def build_all(spark: SparkSession, sf_dir: str, out: str, with_models: bool = Tr
     paths["audit_log"] = f"{out}/audit_log"
     if with_models:
         put("runs", M.runs(spark, sf_dir).withColumn("created_at", F.current_timestamp()), mode="append")
-        put("letters", C.QUERIES["member_letters"](spark, sf_dir)
-            .join(C.QUERIES["adjuster_summaries"](spark, sf_dir), "claim_id"))
+        put("letters", C._model_letters(spark, sf_dir))
         put("shap_global", C.QUERIES["shap_global_sample"](spark, sf_dir))
     else:
         put("letters", C.QUERIES["scorecard_letters"](spark, sf_dir))
