@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import write_shared
-from .tokens import encode_in_slices
+from .tokens import WIDE, Room, encode_in_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one (length, bucket) group, about.
@@ -98,12 +98,13 @@ def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "first", "each", "offset"), cols))
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, room: Room = WIDE) -> DataFrame:
     """Tokens of each document and ``end_id``, cut where longer than ``capacity``.
 
     The first piece of a cut document may be the shorter one. ``keep_ids`` adds
     the piece's ids as little-endian unsigned 32-bit integers. A null text is
-    empty: one piece that is the end id. Other columns of ``docs`` are not read.
+    empty: one piece that is the end id. A special token's string becomes that
+    token. ``room`` bounds what a worker holds. Other columns of ``docs`` are not read.
     """
     end = int(end_id).to_bytes(4, "little")
 
@@ -111,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             rows = [[] for _ in range(5 + keep_ids)]
-            for k, ids in encode_in_slices(tokenizer, texts):
+            for k, ids in encode_in_slices(tokenizer, texts, room):
                 ids += end
                 n, start = len(ids) // 4, 0
                 size = n % capacity or capacity
@@ -166,9 +167,9 @@ def assign(rows: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*kept, "__rank").mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, room: Room = WIDE) -> DataFrame:
     """Pack all documents: one row per piece with its sequence and its place there."""
-    return assign(write_shared(pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces"), capacity)
+    return assign(write_shared(pieces(docs, tokenizer, capacity, end_id, keep_ids, room), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ whole. ``tests/llm`` compares the ids with the library's.
 from __future__ import annotations
 
 import os
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,32 @@ from .common import MEMORIES, hold
 _TAIL = ".,;:!?"
 
 
+class Room(NamedTuple):
+    """What a worker may hold at once: characters of a slice of texts, chunks remembered. It changes no id."""
+    chars: int
+    chunks: int
+
+
+#: For jobs that only tokenize, and for workers that share their executor with other stages.
+WIDE, NARROW = Room(8_000_000, 1_000_000), Room(2_000_000, 400_000)
+
+
 class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids (bytes).
 
-    Strings of special tokens in a text are ordinary text. ``limit`` bounds the
+    A special token's string in a text becomes that token, as the library does
+    by default; with ``ordinary`` it is text like any other. ``limit`` bounds the
     chunks remembered; beyond it the memory is emptied, which changes no id.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = WIDE.chunks, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task: Spark spreads the work
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = ordinary
+        #: Texts that hold one of these go to the library whole.
+        self.special = [] if ordinary else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.limit = limit
         self.memory: dict[str, bytes] = {}  # chunk -> ids; a chunk that starts with a line feed had no space before it
         self.feed = self._whole(["\n"])[0]
@@ -77,10 +91,9 @@ class Encoder:
                 found[k] = memory[w] + after[c[len(w):]]
         return found
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """White space is single spaces and line feeds between visible characters."""
-        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and text.replace("\n", "").isprintable()
+    def _plain(self, text: str) -> bool:
+        """White space is single spaces and line feeds between visible characters, and there is no special token."""
+        return not any(x in text for x in self.special) and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and text.replace("\n", "").isprintable()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [k for k, t in enumerate(texts) if self._plain(t)]
@@ -105,23 +118,24 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = MEMORIES.setdefault("tokens", {})
+_ENCODERS: dict[tuple[str, bool], Encoder] = MEMORIES.setdefault("tokens", {})
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One encoder per Python worker and tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, ordinary) not in _ENCODERS:
+        _ENCODERS[path, ordinary] = Encoder(path, ordinary=ordinary)
+    return _ENCODERS[path, ordinary]
 
 
-def encode_in_slices(path: str, texts: list, chars: int = 2_000_000):
-    """Yield (position, ids) of each text (null: empty), about ``chars`` characters at a time."""
+def encode_in_slices(path: str, texts: list, room: Room = WIDE, ordinary: bool = False):
+    """Yield (position, ids) of each text (null: empty), about ``room.chars`` characters at a time; a longer text alone."""
     hold("tokens")
-    enc, at = encoder(path), 0
+    enc, at = encoder(path, ordinary), 0
+    enc.limit = room.chunks
     while at < len(texts):
         end, n = at, 0
-        while end < len(texts) and (end == at or n < chars):
+        while end < len(texts) and (end == at or n < room.chars):
             n += len(texts[end] or "")
             end += 1
         for k, ids in enumerate(enc.encode([t or "" for t in texts[at:end]])):

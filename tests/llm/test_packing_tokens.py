@@ -8,14 +8,12 @@ from tokenizers import Tokenizer
 
 from claimspark.llm import packing, token_files
 from claimspark.llm.catalog import op1_best_fit_packing, op10_token_files, tokenizer_path
-from claimspark.llm.tokens import Encoder
+from claimspark.llm.tokens import Encoder, Room, encode_in_slices
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def ids_of(library, text):
@@ -34,6 +32,22 @@ def test_chunks_equal_whole_texts(spark, sf_small, library):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(library, t) for t in texts]
 
 
+def test_special_tokens():
+    """The library's own ids by default; ordinary text where asked for."""
+    text = "hello <|endoftext|> world"
+    ids = {o: np.frombuffer(Encoder(tokenizer_path(), ordinary=o).encode([text, "x"])[0], "<u4").tolist() for o in (False, True)}
+    assert ids[False] == [31373, 220, 50256, 995] and 50256 not in ids[True] and len(ids[True]) == 9
+
+
+def test_slices_do_not_matter(library):
+    """Borders of slices, and a text longer than a slice."""
+    texts = [None, "a b", "", "long one " * 300, "<|endoftext|>", *EDGE, "end"] * 3
+    want = [ids_of(library, t) for t in texts]
+    for room in (Room(1, 2), Room(50, 5), Room(10_000, 10)):
+        got = dict(encode_in_slices(tokenizer_path(), texts, room))
+        assert [np.frombuffer(got[k], "<u4").tolist() for k in range(len(texts))] == want
+
+
 def best_fit_decreasing(lengths, capacity):
     """The textbook loop: every piece to the tightest open sequence."""
     rooms = []
