@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimspark.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from claimspark.llm.catalog import tokenizer_path
 from claimspark.llm.common import prepare, table, write_shared
+from claimspark.llm.tokens import NARROW
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by nine tenths of their 3-word shingles."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group linked by eight tenths of their 5-word shingles."""
+    return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), room=NARROW)
 
 
 STAGES = [
