@@ -1,11 +1,11 @@
 """Phrase collocations, mined from sorted count streams.
 
 Counting. Three reads of the texts, each combining in its tasks: words; then
-hashes of word pairs, to know which pairs can be frequent; then all phrases of
-up to ``longest`` words whose pairs can be. A phrase is frequent only if its
-words and pairs are. What a task must know of them is a bit per hash in a
-filter of ``FILTER_BITS``, whatever the size of the corpus: a wrong bit lets
-more phrases be counted, none fewer, and all that is kept is counted exactly.
+cells of word pairs, to know which pairs can be frequent; then phrases of 2 to
+``longest`` words whose pairs can be. A phrase is frequent only if its words and
+pairs are. What a task must know of them is a bit per cell in a filter of
+``FILTER_BITS``, whatever the size of the corpus: a wrong bit lets more phrases be
+counted, none fewer, and all that is kept is counted exactly.
 
 Estimation. The counts, with the number of a language's words as the count of
 its empty phrase, are kept as one stream in prefix order (words compared from
@@ -41,8 +41,8 @@ _TO_END = bytes.maketrans(ENDS, END * len(ENDS))
 FILTER_BITS = 1 << 27
 #: Bits of a row of Spark's bitmap functions (fixed there).
 _ROW_BITS = 32768
-#: Bytes of text that a task takes apart at once, and words that it remembers.
-SLICE, REMEMBERED = 4_000_000, 400_000
+#: Bytes of text that a task takes apart at once, words that it combines at once, and words that it remembers.
+SLICE, RUN, REMEMBERED = 2_000_000, 1_000_000, 400_000
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -117,55 +117,93 @@ class Ids(dict):
         return n
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple[str, Ids, np.ndarray, np.ndarray]]:
-    """(language, ids, numbers of words, hashes of the pair that begins at each, 0 where none does)."""
+def _runs(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple[str, Ids, np.ndarray]]:
+    """(language, ids, numbers of its words, 0 at piece ends) for about ``RUN`` words at once, or what a task has of a language."""
     hold("collocations")
     known: dict[str, Ids] = {}
+    held: dict[str, list[np.ndarray]] = {}
+
+    def give(lang: str) -> tuple[str, Ids, np.ndarray]:
+        return lang, known[lang], np.concatenate(held.pop(lang)).astype(np.int64)
+
     for batch in batches:
         for lang, words in slices(batch):
+            ids = known.get(lang) or known.setdefault(lang, Ids(lang, bits))
+            numbers = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+            held.setdefault(lang, []).extend([numbers, np.zeros(1, np.int32)])
+            if sum(map(len, held[lang])) > RUN:
+                yield give(lang)
             if sum(map(len, known.values())) > REMEMBERED:
+                for other in list(held):
+                    yield give(other)
                 known.clear()
-            ids = known.get(lang) or known.setdefault(lang, Ids(lang, bits))
-            numbers = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-            del words
-            own = np.array(ids.hashes, np.uint64)[numbers]
-            pairs = np.zeros(len(numbers), np.uint64)
-            both = (numbers[:-1] > 0) & (numbers[1:] > 0)
-            pairs[:-1][both] = mix(own[:-1][both] * np.uint64(0x9E3779B97F4A7C15) + own[1:][both]) | np.uint64(1 << 63)  # not 0
-            yield lang, ids, numbers, pairs
+    for lang in list(held):
+        yield give(lang)
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the hashes of pairs of words that may be frequent."""
-    for _, _, _, pairs in _numbered(batches, bits):
-        hashes, counts = np.unique(pairs[pairs > 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "n"])
+def _pair_cells(ids: Ids, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where two numbered words begin, and the filter cell of each such pair."""
+    starts = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+    own = np.array(ids.hashes, np.uint64)
+    hashes = mix(own[numbers[starts]] * np.uint64(0x9E3779B97F4A7C15) + own[numbers[starts + 1]])
+    return starts, (hashes & np.uint64(bits - 1)).astype(np.int64)
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], word_bits: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the cells of pairs of words that may be frequent, packed by filter row (``row, cells``).
+
+    ``cells``: the places of the cells in the row (16 bits each), then their counts (32 bits each).
+    """
+    for _, ids, numbers in _runs(batches, word_bits):
+        cells, counts = np.unique(_pair_cells(ids, numbers, bits)[1], return_counts=True)
+        rows, at = np.unique(cells // _ROW_BITS, return_index=True)
+        ends = [*at[1:], len(cells)]
+        places, counts = (cells % _ROW_BITS).astype("<u2"), counts.astype("<u4")
+        packed = [places[i:j].tobytes() + counts[i:j].tobytes() for i, j in zip(at, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(packed, pa.binary())], ["row", "cells"])
 
 
-def count_phrases(batches: Iterator[pa.RecordBatch], bits: np.ndarray, pair_bits: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+def frequent_cells(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The filter rows with a bit for every cell counted ``least`` times or more; the rows come sorted, one is held at a time."""
+    of, held = None, None
+
+    def give() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([np.packbits(held >= least, bitorder="little").tobytes()], pa.binary())], ["row", "bits"])
+
+    for batch in batches:
+        for row, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if row != of:
+                if held is not None:
+                    yield give()
+                of, held = row, np.zeros(_ROW_BITS, np.int64)
+            data = cells.as_py()
+            n = len(data) // 6
+            held[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, "<u4", n, 2 * n)
+    if held is not None:
+        yield give()
+
+
+def count_phrases(batches: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of phrases of 2 to ``longest`` words all of whose pairs may be frequent."""
-    mask = np.uint64(len(pair_bits) * 8 - 1)
-    for lang, ids, numbers, pairs in _numbered(batches, bits):
-        cells = pairs & mask
-        linked = (pairs > 0) & ((pair_bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    for lang, ids, numbers in _runs(batches, word_bits):
+        starts, cells = _pair_cells(ids, numbers, len(pair_bits) * 8)
+        starts = starts[((pair_bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)]
+        linked = np.zeros(len(numbers), bool)
+        linked[starts] = True
         words = pa.array(ids.words, pa.binary())
-        starts = np.flatnonzero(linked)
-        # a phrase is numbered by its first words' number and its last word
-        first = numbers[starts]
+        first = numbers[starts]  # a phrase is numbered by its first words' number and its last word
         for k in range(2, longest + 1):
             if not len(starts):
                 break
             _, at, first, counts = np.unique(first << 32 | numbers[starts + k - 1], return_index=True, return_inverse=True, return_counts=True)
             places = starts[at]
             yield _rows(lang, pc.binary_join_element_wise(*[words.take(pa.array(numbers[places + j])) for j in range(k)], b" "), counts)
-            more = starts + k - 1 < len(linked)
-            more[more] = linked[starts[more] + k - 1]
+            more = linked[starts + k - 1]  # the pair of the last word and the next
             starts, first = starts[more], first[more]
 
 
-def hash_filter(cells: DataFrame, bits: int) -> np.ndarray:
-    """A filter of ``bits`` bits with the ``cell`` of every row set: of a fixed size, whatever the rows."""
-    rows = cells.groupBy(F.shiftright("cell", 15).alias("row")).agg(F.expr(f"bitmap_construct_agg(cell & {_ROW_BITS - 1})").alias("bits"))
+def gathered(rows: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits from its rows ``row, bits``: of a fixed size, whatever the corpus."""
     out = np.zeros(max(bits, _ROW_BITS) // 8, np.uint8)
     for r in rows.collect():  # bits / 32768 rows of 4 KB at most
         out[r["row"] * 4096:(r["row"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -185,19 +223,19 @@ def frequent(docs: DataFrame, least: int, longest: int, bits: int = FILTER_BITS)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def summed(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.sum("n").alias("n"))
+        # tasks have combined their rows already; most keys are rare, and a second map-side table of them would only take memory
+        return rows.repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
 
     words = write_shared(summed(texts.mapInArrow(count_words, _COUNTS), "lang", "phrase").filter((F.col("n") >= least) | (F.col("phrase") == "")), "words")
-    word_bits = spark.sparkContext.broadcast(hash_filter(words.filter("phrase <> ''").select("lang", "phrase").mapInArrow(lambda b: _word_cells(b, bits), "cell long"), bits))
-    pairs = summed(texts.mapInArrow(lambda b: count_pairs(b, word_bits.value), "hash long, n long"), "hash").filter(F.col("n") >= least)
-    pair_bits = spark.sparkContext.broadcast(hash_filter(pairs.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("cell")), bits))
+    cells = words.filter("phrase <> ''").select("lang", "phrase").mapInArrow(lambda b: _word_cells(b, bits), "cell long")
+    rows = cells.groupBy(F.shiftright("cell", 15).alias("row")).agg(F.expr(f"bitmap_construct_agg(cell & {_ROW_BITS - 1})").alias("bits"))
+    word_bits = spark.sparkContext.broadcast(gathered(rows, bits))
+    cells = texts.mapInArrow(lambda b: count_pairs(b, word_bits.value, bits), "row long, cells binary").repartition("row").sortWithinPartitions("row")
+    pair_bits = spark.sparkContext.broadcast(gathered(cells.mapInArrow(lambda b: frequent_cells(b, least), "row long, bits binary"), bits))
     phrases = texts.mapInArrow(lambda b: count_phrases(b, word_bits.value, pair_bits.value, longest), _COUNTS)
     return write_shared(words.unionByName(summed(phrases, "lang", "phrase").filter(F.col("n") >= least)), "counts")
 
 
-_STREAM = "part long, lang string, path array<string>, n long, sides array<long>, header boolean"
-
-
 def stream(counts: DataFrame, what: str) -> DataFrame:
     """``lang, path, n, sides`` in order of path, dealt by ranges (``part``), each with the beginnings of its first path as headers."""
     dealt = counts.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
