@@ -713,11 +713,11 @@ def q_stream_audit(spark, sf_dir):
     ov.write.mode("overwrite").parquet(f"{src}/batch=1")
     ov.write.mode("overwrite").parquet(f"{src}/batch=2")  # redelivery of the same requests
     run = _uuid.uuid4().hex
-    sink, ck = _stage_root(spark, sf_dir, f"audit/{run}/out"), _stage_root(spark, sf_dir, f"audit/{run}/ck")
-    stream = ST.audit_entries(spark.readStream.schema(ov.schema).option("maxFilesPerTrigger", 1)
+    log, ck = _stage_root(spark, sf_dir, f"audit/{run}/log"), _stage_root(spark, sf_dir, f"audit/{run}/ck")
+    stream = ST.audit_entries(spark.readStream.schema(ov.schema).option("maxFilesPerTrigger", 8)
                               .parquet(f"{src}/*"))
-    ST.run_available(stream, sink, ck)
-    return ST.merge_entries(spark.read.parquet(sink))
+    ST.run_audit(stream, log, ck)
+    return AU.read_log(spark, log).drop("day")
 
 
 # --- remaining user-level operators -------------------------------------------------
@@ -739,19 +739,47 @@ def _requests(spark, sf_dir):
     ov = FX.raw_overrides(spark, sf_dir)
     return ov.select("claim_id", "member_id", "adjuster_name", F.col("model_prob").alias("original_prob"),
                      F.col("model_decision").alias("recommended_action"),
-                     F.col("final_decision").alias("override_decision"), F.col("override_reason").alias("reason"))
+                     F.col("final_decision").alias("override_decision"), F.col("override_reason").alias("reason"), F.col("timestamp").alias("requested_at"))
 
 
-@register("audit_from_requests", O.with_ctes(["raw_overrides"], f"""
-SELECT substr(md5(claim_id || '|' || final_decision || '|' || override_reason), 1, 8) AS audit_id, claim_id,
+_ID_FIELDS = " || '|' || ".join(f"COALESCE(length({v}) || ':' || {v}, '-')" for v in (
+    "claim_id", "member_id", "adjuster_name", "CAST(CAST(model_prob AS DECIMAL(18,6)) AS VARCHAR)", "model_decision", "final_decision", "override_reason",
+    "strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f')"))
+_REQUEST_ENTRIES = f"""SELECT DISTINCT md5({_ID_FIELDS}) AS audit_id, claim_id,
  COALESCE(member_id, '') AS member_id, COALESCE(adjuster_name, '') AS adjuster_name, model_decision,
  ROUND(model_prob, 4) AS model_prob, final_decision, override_reason, '{_REQ_NOW}' AS timestamp,
- final_decision <> model_decision AS is_override
-FROM raw_overrides WHERE regexp_matches(final_decision, '^(APPROVE|DENY)$') AND length(override_reason) >= 5"""))
+ COALESCE(strftime(timestamp, '%Y-%m-%d'), 'unknown') AS day
+FROM raw_overrides WHERE regexp_matches(final_decision, '^(APPROVE|DENY)$') AND length(override_reason) >= 5"""
+
+
+@register("audit_from_requests", O.with_ctes(["raw_overrides"], f"SELECT *, final_decision <> model_decision AS is_override FROM ({_REQUEST_ENTRIES})"))
 def q_audit_from_requests(spark, sf_dir):
     """AUD-1: validated override requests -> audit entries (fixed clock for the check)."""
-    e = AU.entries_from_requests(_requests(spark, sf_dir), now=F.lit(_REQ_NOW))
-    return AU.with_is_override(e.withColumn("timestamp", F.lit(_REQ_NOW)))
+    return AU.with_is_override(AU.entries_from_requests(_requests(spark, sf_dir), now=F.lit(_REQ_NOW)).withColumn("timestamp", F.lit(_REQ_NOW)))
+
+
+@register("audit_append", O.with_ctes(["raw_overrides"], f"""
+SELECT (SELECT COUNT(*) FROM ({_REQUEST_ENTRIES})) AS n_entries, (SELECT COUNT(*) FROM ({_REQUEST_ENTRIES})) AS n_ids,
+ CAST(0 AS BIGINT) AS added_by_rerun, CAST(0 AS BIGINT) AS added_by_redelivery"""))
+def q_audit_append(spark, sf_dir):
+    """SNK-4: the log after its batch was appended, appended again under its number, and delivered again under another."""
+    log = _stage_root(spark, sf_dir, f"audit-log/{_uuid.uuid4().hex}")
+    entries = AU.entries_from_requests(_requests(spark, sf_dir), now=F.lit(_REQ_NOW))
+    added = [AU.append_entries(entries, log, batch) for batch in ("first", "first", "second")]
+    return AU.read_log(spark, log).agg(F.count(F.lit(1)).alias("n_entries"), F.count_distinct("audit_id").alias("n_ids")).withColumns(
+        {"added_by_rerun": F.lit(added[1]).cast("long"), "added_by_redelivery": F.lit(added[2]).cast("long")})
+
+
+@register("audit_page_after", O.with_ctes(["al"], """
+SELECT b.* FROM (SELECT * FROM al ORDER BY timestamp, audit_id LIMIT 60) b LEFT JOIN (SELECT audit_id FROM al ORDER BY timestamp, audit_id LIMIT 40) a
+ ON a.audit_id = b.audit_id WHERE a.audit_id IS NULL"""))
+def q_audit_page_after(spark, sf_dir):
+    """WIN-6 by key: the third page, each page asked for after the last entry of the one before."""
+    log, after = _audit_log(spark, sf_dir), None
+    for _ in range(2):
+        last = AU.page_after(log, after, 20).collect()[-1]
+        after = (last.timestamp, last.audit_id)
+    return AU.page_after(log, after, 20)
 
 
 @register("shap_global_sample")

@@ -5,7 +5,7 @@
 * ``claims_raw`` and ``claims_features`` (parquet, partitioned by sample)
 * ``meps_denial_rates``
 * ``runs`` (append: one row per trained model and run)
-* ``audit_log`` (append: validated override entries)
+* ``audit_log`` (append: validated override entries that it doesn't have yet)
 * ``letters`` (member letter + adjuster summary per claim)
 * ``shap_global`` (Tree SHAP on the 2,000-claim sample)
 """

@@ -3,12 +3,11 @@
 ST-1 is stateless: each micro-batch of raw claim rows goes through the same
 cleaning, stream-static beneficiary join, feature and scoring expressions as
 the batch plan, so stream output equals batch output.
-ST-2 validates override requests and appends them to a sink without state, so
-that no request is too late, whatever the order of the files; redelivered ones
-are merged by ``audit_id`` when the sink is read as the audit table.
+ST-2 validates override requests and merges every micro-batch by ``audit_id``
+into the audit log, without state, so that no request is too late, whatever the
+order of the files, and reading the log needs no merge.
 
-Both run with ``trigger(availableNow=True)`` into parquet sinks whose
-checkpoints live under the cluster's shared checkpoint folder, so a restart
+Both run with ``trigger(availableNow=True)``; their checkpoints live under the cluster's shared checkpoint folder, so a restart
 resumes exactly where the last committed batch ended.
 """
 
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..operators import features as FE
 from ..operators import ingest
-from ..operators.audit import AUDIT_COLUMNS
+from ..operators.audit import AUDIT_COLUMNS, append_entries
 from ..operators.label import with_scorecard
 from ..operators.metrics import decisions
 from ..operators.quality import with_override_violations
@@ -40,16 +39,25 @@ def score_claims(raw_claims: DataFrame, bene: DataFrame, intercept: float, sampl
 
 
 def audit_entries(overrides: DataFrame) -> DataFrame:
-    """ST-2 transform: valid audit entries, as often as they are delivered (see ``merge_entries``)."""
+    """ST-2 transform: valid audit entries, as often as they are delivered (``run_audit`` merges them)."""
     checked = with_override_violations(overrides).filter("is_valid")
     return (checked.withColumn("timestamp", F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
                    .select(*AUDIT_COLUMNS))
 
 
-def merge_entries(entries: DataFrame) -> DataFrame:
-    """The audit table: one entry of each ``audit_id``, the earliest (then the first by its other columns)."""
-    first = F.min(F.struct("timestamp", *[c for c in AUDIT_COLUMNS if c != "timestamp"])).alias("first")
-    return entries.groupBy("audit_id").agg(first).select("first.*").select(*AUDIT_COLUMNS)
+def run_audit(entries: DataFrame, log: str, checkpoint: str) -> None:
+    """ST-2 sink: merge every micro-batch into the audit log as it is written.
+
+    A batch is appended under the id of its stream and number, so one that is
+    run again after a failure, like a request delivered again, adds nothing.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        append_entries(batch, log, f"{checkpoint}#{number}")
+
+    q = (entries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -61,4 +69,4 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet
         raise q.exception()
 
 
-__all__ = ["claims_stream", "score_claims", "audit_entries", "merge_entries", "run_available", "K"]
+__all__ = ["claims_stream", "score_claims", "audit_entries", "run_audit", "run_available", "K"]

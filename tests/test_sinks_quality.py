@@ -13,7 +13,7 @@ def test_build_all_and_append(spark, sf_small):
     p = build_all(spark, sf_small, out, with_models=False)
     n_audit = spark.read.parquet(p["audit_log"]).count()
     build_all(spark, sf_small, out, with_models=False)
-    assert spark.read.parquet(p["audit_log"]).count() == 2 * n_audit  # append-only log
+    assert spark.read.parquet(p["audit_log"]).count() == n_audit > 0  # a rerun adds nothing
     feats = spark.read.parquet(p["claims_features"])
     assert len(feats.columns) == 42 and set(K.FEATURE_COLS) <= set(feats.columns)
     assert len(spark.read.parquet(p["claims_raw"]).columns) == 45

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimspark import constants as K
+from claimspark.operators import audit as AU
 from claimspark.plans import catalog as C
 from claimspark.plans import pipeline as P
 from claimspark.sources import files as SRC
@@ -77,11 +78,10 @@ def test_audit_stream_keeps_a_year_in_any_order(spark, sf_small, tmp_path):
     months = [7, 0, 11, 3, 9, 1, 5, 10, 2, 8, 4, 6]
     stamp = F.date_format(F.add_months(F.lit("2008-01-15").cast("date"), F.pmod(F.col("n"), F.lit(12))), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     rows = ov.withColumn("n", F.row_number().over(Window.orderBy("audit_id")) - 1)
-    year = rows.withColumn("timestamp", stamp.cast(ov.schema["timestamp"].dataType)).localCheckpoint()
+    year = rows.withColumn("timestamp", stamp.cast(ov.schema["timestamp"].dataType)).cache()
     for k, month in enumerate([*months, *months[::-1]]):  # every file is delivered twice
         year.filter(F.pmod("n", F.lit(12)) == month).drop("n").coalesce(1).write.parquet(f"{tmp_path}/in/file={k:02}")
-    stream = spark.readStream.schema(ov.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    ST.run_available(ST.audit_entries(stream), f"{tmp_path}/out", f"{tmp_path}/ck")
-    sink = spark.read.parquet(f"{tmp_path}/out")
-    got = ST.merge_entries(sink) if hasattr(ST, "merge_entries") else sink
+    stream = spark.readStream.schema(ov.schema).option("maxFilesPerTrigger", 6).parquet(f"{tmp_path}/in/*")
+    ST.run_audit(ST.audit_entries(stream), f"{tmp_path}/log", f"{tmp_path}/ck")
+    got = AU.read_log(spark, f"{tmp_path}/log")
     assert sorted(r.audit_id for r in got.collect()) == sorted(r.audit_id for r in year.collect())
