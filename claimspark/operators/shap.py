@@ -140,35 +140,52 @@ def waterfall(shap: DataFrame, max_display: int = 15) -> DataFrame:
         F.round(F.col("base_value") + F.col("cum"), 6).alias("cumulative"))
 
 
-def long_attributions(shap: DataFrame, prefix: str = "phi_") -> DataFrame:
-    """(claim_id, feature, idx, value, x) rows; used only for per-feature aggregates."""
-    have = set(shap.columns)
-    pairs = ", ".join(f"'{f}', {i}, CAST(`{prefix}{f}` AS DOUBLE), "
-                      + (f"CAST(`{f}` AS DOUBLE)" if f in have else "CAST(NULL AS DOUBLE)")
-                      for i, f in enumerate(K.FEATURE_COLS))
-    return shap.selectExpr("claim_id", f"stack({len(K.FEATURE_COLS)}, {pairs}) AS (feature, idx, value, x)")
+def column_profile(shap: DataFrame, stats) -> DataFrame:
+    """(feature, idx, *stats) from one pass: every feature's statistics in one aggregate, whose single row is unpivoted.
+
+    ``stats(phi, x)`` gives named Columns of a feature's attribution and value
+    (null where ``shap`` has no values). The statistics merge (sums, sketches),
+    so each task sends one row, and no claim becomes 36 rows.
+    """
+    have, aggs, groups = set(shap.columns), [], []
+    for i, f in enumerate(K.FEATURE_COLS):
+        x = F.col(f).cast("double") if f in have else F.lit(None).cast("double")
+        named = stats(F.col(f"phi_{f}").cast("double"), x)
+        aggs += [c.alias(f"{name}__{i}") for name, c in named.items()]
+        groups.append(F.struct(F.lit(f).alias("feature"), F.lit(i).alias("idx"), *[F.col(f"{name}__{i}").alias(name) for name in named]))
+    return shap.agg(*aggs).select(F.inline(F.array(*groups)))
 
 
 def global_importance(shap: DataFrame) -> DataFrame:
     """AGG-5 + SRT-1: mean |attribution| per feature, ranked (36 rows)."""
     from pyspark.sql import Window
-    agg = (long_attributions(shap).groupBy("feature", "idx")
-           .agg(F.avg(F.abs("value")).alias("m")))
+    agg = column_profile(shap, lambda phi, x: {"m": F.avg(F.abs(phi))}).filter("m IS NOT NULL")
     w = Window.orderBy(F.round(F.col("m"), 9).desc(), "idx")  # 36 rows only
     return agg.select("feature", F.round("m", 6).alias("mean_abs_shap"), F.row_number().over(w).alias("rank"))
 
 
+#: Quantiles of a beeswarm row, and the accuracy of their sketch (an error of one row in so many).
+BEESWARM_QUANTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+QUANTILE_ACCURACY = 1_000_000
+
+
 def beeswarm_summary(shap: DataFrame) -> DataFrame:
-    """XAI-3 input as a table: per feature, attribution against value."""
-    la = long_attributions(shap)
-    pos = F.col("value") > 0
-    return la.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.abs("value")), 6).alias("mean_abs_shap"),
-        F.round(F.avg("value"), 6).alias("mean_shap"),
-        F.sum(pos.cast("long")).alias("n_positive"),
-        F.round(F.avg(F.when(pos, F.col("x"))), 6).alias("mean_value_when_positive"),
-        F.round(F.avg(F.when(~pos, F.col("x"))), 6).alias("mean_value_when_not_positive"))
+    """XAI-3 input as a table: per feature, attribution against value, with quantiles and correlation.
+
+    The correlation is null where the attribution or the value doesn't vary.
+    """
+    def stats(phi: Column, x: Column) -> dict[str, Column]:
+        pos = phi > 0
+        quantiles = F.percentile_approx(phi, list(BEESWARM_QUANTILES.values()), QUANTILE_ACCURACY)
+        corr = F.try_divide(F.covar_pop(phi, x), F.stddev_pop(F.when(x.isNotNull(), phi)) * F.stddev_pop(x))
+        varies = (F.min(phi) < F.max(phi)) & (F.min(x) < F.max(x))
+        return {"n": F.count(F.lit(1)), "mean_abs_shap": F.round(F.avg(F.abs(phi)), 6), "mean_shap": F.round(F.avg(phi), 6), "n_positive": F.sum(pos.cast("long")),
+                "mean_value_when_positive": F.round(F.avg(F.when(pos, x)), 6), "mean_value_when_not_positive": F.round(F.avg(F.when(~pos, x)), 6),
+                "quantiles": quantiles, "corr_with_value": F.when(varies, F.round(corr, 6))}
+
+    out = column_profile(shap, stats).filter("n > 0")
+    return out.select("feature", "n", "mean_abs_shap", "mean_shap", "n_positive", "mean_value_when_positive", "mean_value_when_not_positive",
+                      *[F.round(F.col("quantiles")[k], 6).alias(name) for k, name in enumerate(BEESWARM_QUANTILES)], "corr_with_value")
 
 
 def hint_table(spark) -> DataFrame:

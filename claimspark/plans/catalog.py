@@ -383,7 +383,9 @@ def q_global_importance(spark, sf_dir):
 SELECT feature, COUNT(*) AS n, ROUND(AVG(ABS(value)), 6) AS mean_abs_shap, ROUND(AVG(value), 6) AS mean_shap,
  SUM(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS n_positive,
  ROUND(AVG(CASE WHEN value > 0 THEN x END), 6) AS mean_value_when_positive,
- ROUND(AVG(CASE WHEN NOT (value > 0) THEN x END), 6) AS mean_value_when_not_positive FROM lg GROUP BY feature"""))
+ ROUND(AVG(CASE WHEN NOT (value > 0) THEN x END), 6) AS mean_value_when_not_positive,
+ """ + ", ".join(f"ROUND(quantile_disc(value, {q}), 6) AS {name}" for name, q in SH.BEESWARM_QUANTILES.items()) + """,
+ CASE WHEN MIN(value) < MAX(value) AND MIN(x) < MAX(x) THEN ROUND(corr(value, x), 6) END AS corr_with_value FROM lg GROUP BY feature"""))
 def q_beeswarm_summary(spark, sf_dir):
     return SH.beeswarm_summary(P.scorecard_shap(spark, sf_dir))
 
