@@ -6,9 +6,10 @@ order here puts rare members first, so that hardly any unrelated documents share
 a prefix:
 
 * Counts need not cover all members. Members whose hash starts with two zero
-  bits come first in the order, by how many different sets hold them; a set
-  emits only these (about a quarter), unless they are too few to hold its
-  prefix; then it emits all.
+  bits (with one, where the threshold is low and prefixes are long) come first
+  in the order, by how many different sets hold them; a set emits only these
+  (about a quarter, or half), unless they are too few to hold its prefix; then
+  it emits all.
 * A set whose prefix has only members that no other set emitted has no partner.
   The sets that share prefix members are joined to families (connected
   components over prefix members; links between members' smallest holders, not
@@ -66,9 +67,14 @@ def prefix_length(n, percent: int):
     return n + (-n * percent) // 100 + 1
 
 
+def counted_bits(percent: int) -> int:
+    """Members below 2 to this power are counted first: a quarter of all if prefixes mostly fit in it, else half."""
+    return 62 if 1.6 * (100 - percent) <= 25 else 63
+
+
 def _emitted(members: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The members that a set emits, and how many of them are in the counted quarter."""
-    counted = int(np.searchsorted(members, np.uint64(1 << 62)))
+    """The members that a set emits, and how many of them are in the counted part."""
+    counted = int(np.searchsorted(members, np.uint64(1 << counted_bits(percent))))
     if counted >= 1.6 * prefix_length(len(members), percent) + 4:
         return members[:counted], counted
     return members, counted
@@ -108,7 +114,7 @@ def shared_prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     emitted = sets.filter("size(members) > 0").select("node", F.explode("members").alias("member"))
     holders = emitted.repartition("member").dropDuplicates(["member", "node"])
     counted = holders.withColumn("held", F.count("*").over(Window.partitionBy("member"))).filter("held > 1")
-    late = (F.shiftrightunsigned("member", 62) != 0).cast("int")
+    late = (F.shiftrightunsigned("member", counted_bits(percent)) != 0).cast("int")
     mine = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(late.alias("late"), "held", "member"))).alias("common"))
     first, last = F.filter("common", lambda m: m["late"] == 0), F.filter("common", lambda m: m["late"] == 1)
     rows = mine.join(nodes, "node").select("node", "emitted", "counted", first.alias("first"), last.alias("last"),
