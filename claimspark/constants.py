@@ -320,6 +320,28 @@ LETTER_CHECKS = [
     ("has_corrective_actions", "ACTIONS THAT MAY", False),
 ]
 
+# --- fixed values: the fully documented claim that what-if scores are held against
+DOCUMENTED_CLAIM = {
+    "is_inpatient": 0, "los_days": 0, "claim_year": 2008, "claim_month": 6, "clm_pmt_amt": 80.0, "primary_payer_amt": 20.0,
+    "has_primary_payer": 1, "is_adjustment": 0, "prior_auth_present": 1, "has_op_surgeon": 1, "primary_icd9_num": 401,
+    "num_diagnoses": 5, "num_procedures": 2, "has_procedure": 1, "has_hcpcs": 1, "drg_num": None, "utlztn_days": None,
+    "bene_age": 68, "bene_sex": 1, "bene_race": 1, "bene_esrd": 0, "bene_hi_mons": 12, "bene_hmo_mons": 0,
+    "bene_is_deceased": 0, "has_alzheimer": 0, "has_chf": 0, "has_ckd": 0, "has_cancer": 0, "has_copd": 0,
+    "has_depression": 0, "has_diabetes": 1, "has_ihd": 1, "has_osteoporosis": 0, "has_ra_oa": 0, "has_stroke": 0,
+    "chronic_count": 2,
+}
+
+# What-if scenarios of the registered queries: name, fields to overwrite.
+WHAT_IF_SCENARIOS = [
+    ("as filed", {}),
+    ("prior authorisation entered", {"prior_auth_present": 1.0, "has_op_surgeon": 1.0}),
+    ("payment and stay recorded", {"clm_pmt_amt": 80.0, "los_days": 2.0}),
+    ("full year of coverage", {"bene_hi_mons": 12.0}),
+    ("diagnosis withdrawn", {"primary_icd9_num": None}),
+    ("everything documented", {"prior_auth_present": 1.0, "has_op_surgeon": 1.0, "clm_pmt_amt": 80.0, "los_days": 2.0,
+                               "bene_hi_mons": 12.0, "primary_icd9_num": 401.0}),
+]
+
 # --- fixed values: override request rules -----------------------------------
 OVERRIDE_DECISIONS = ["APPROVE", "DENY"]
 OVERRIDE_REASON_MIN_LEN = 5

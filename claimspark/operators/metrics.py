@@ -2,21 +2,20 @@
 
 ROC AUC and average precision need running sums over the score order. They
 are computed on the table pre-aggregated by distinct score, and the running
-sums never put the whole table in one task: scores are cut into quantile
-buckets, bucket totals (a table bounded by the bucket count) give the
-offsets, and the within-bucket running sum is a window partitioned by
-bucket.
+sums never put the whole table in one task: the table is range-partitioned by
+(group, score), as many ranges as its rows ask for; range totals give the
+offsets, and the running sum within a range is a window partitioned by range.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
-N_BUCKETS = 64
+#: Distinct (group, score) rows of one range: what a task sorts to sum over.
+ROWS_PER_RANGE = 250_000
 
 
 def score_counts(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
@@ -26,29 +25,30 @@ def score_counts(df: DataFrame, group: str, score: str, label: str) -> DataFrame
               .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
-def _bucketed(counts: DataFrame, n_buckets: int) -> DataFrame:
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(counts.approxQuantile("score", qs, 0.001)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        return counts.withColumn("bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(counts)
-
-
-def prefix_counts(counts: DataFrame, group: str, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Adds ``pos_below``/``neg_below``: totals over strictly lower scores."""
-    b = _bucketed(counts, n_buckets)
-    totals = b.groupBy(group, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_buckets rows per group: a proven bound, safe to broadcast
-    offsets = totals.select(group, "bucket",
-                            F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("off_pos"),
-                            F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("off_neg"))
-    wi = Window.partitionBy(group, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    local = b.select("*", F.coalesce(F.sum("pos").over(wi), F.lit(0)).alias("lpos"),
-                     F.coalesce(F.sum("neg").over(wi), F.lit(0)).alias("lneg"))
-    return (local.join(F.broadcast(offsets), [group, "bucket"])
-                 .select(group, "score", "pos", "neg",
+def prefix_counts(counts: DataFrame, group: str, n_buckets: int | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds ``pos_below``/``neg_below``: totals over strictly lower scores.
+
+    The rows are range-partitioned by (group, score) into as many ranges as
+    their number asks for, or ``n_buckets``. Each range is summed by itself,
+    beginning at the totals of the group's ranges before it.
+    """
+    if n_buckets is None:
+        n_buckets = max(1, -(-counts.count() // rows_per_range))
+    # written, so that a lost task finds each row in the range that its offset was summed for
+    ranged = (counts.repartitionByRange(n_buckets, group, "score")
+                    .withColumn("range", F.spark_partition_id()).checkpoint(eager=True))
+    totals = ranged.groupBy(group, "range").agg(F.sum("pos").alias("rpos"), F.sum("neg").alias("rneg"))
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # a range and group meet in at most n_buckets + groups rows, one for rows_per_range scores
+    offsets = totals.select(group, "range",
+                            F.coalesce(F.sum("rpos").over(before), F.lit(0)).alias("off_pos"),
+                            F.coalesce(F.sum("rneg").over(before), F.lit(0)).alias("off_neg"))
+    within = Window.partitionBy(group, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", F.coalesce(F.sum("pos").over(within), F.lit(0)).alias("lpos"),
+                          F.coalesce(F.sum("neg").over(within), F.lit(0)).alias("lneg"))
+    same = F.col("l.range").eqNullSafe(F.col("o.range")) & F.col(f"l.{group}").eqNullSafe(F.col(f"o.{group}"))
+    return (local.alias("l").join(offsets.alias("o"), same)
+                 .select(f"l.{group}", "score", "pos", "neg",
                          (F.col("off_pos") + F.col("lpos")).alias("pos_below"),
                          (F.col("off_neg") + F.col("lneg")).alias("neg_below")))
 
@@ -56,7 +56,7 @@ def prefix_counts(counts: DataFrame, group: str, n_buckets: int = N_BUCKETS) ->
 def roc_auc_ap(df: DataFrame, group: str = "split", score: str = "score",
                label: str = "denial_label") -> DataFrame:
     """Tie-aware ROC AUC (Mann-Whitney) and average precision per group."""
-    # the distinct-score table feeds three steps (quantiles, prefix sums,
+    # the distinct-score table feeds three steps (number of rows, prefix sums,
     # totals): compute it once and cut its lineage with a reliable checkpoint
     counts = score_counts(df, group, score, label).checkpoint(eager=True)
     pc = prefix_counts(counts, group)

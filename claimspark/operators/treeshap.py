@@ -20,6 +20,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from .model import TreeArrays, model_input
@@ -167,3 +168,50 @@ def what_if(features: DataFrame, t: TreeArrays, corrections: dict, focus: str =
                 "action_corrected": np.where(p1 > K.DENY_THRESHOLD, "DENY", "APPROVE")})
 
     return model_input(features, label=None).select("claim_id", *xcols).mapInPandas(run, WHATIF_SCHEMA)
+
+
+SCENARIO_SCHEMA = ("scenario string, ignored string, p0 double, p1 double, phi0 double, phi1 double")
+
+
+def what_if_scenarios(features: DataFrame, t: TreeArrays, corrections: DataFrame,
+                      focus: str = "prior_auth_present") -> DataFrame:
+    """XAI-8 on the model over a corrections table: three legs in one row, in one pass per batch.
+
+    A batch carries the claim's own values and those that the scenario may
+    overwrite; the documented claim is scored once, on the driver.
+    """
+    from .whatif import changed, compare_legs, ignored_fields, with_scenarios
+    leaves, base = leaf_paths(t)
+    tables = leaf_tables(leaves)
+    pos = {f: i for i, f in enumerate(K.FEATURE_COLS)}
+    fi = pos[focus]
+    keys = [c for c in ("sample_num", "claim_id") if c in features.columns]
+    types = dict(features.dtypes)
+    rows, fields = with_scenarios(features, corrections)
+    sentinel = F.lit(K.MISSING_SENTINEL)
+    new = {f"y_{f}": F.coalesce(changed(f, types[f]).cast("double"), sentinel) for f in fields}
+    rows = model_input(rows.withColumns(new).withColumn("ignored", ignored_fields()), label=None,
+                       carry=("sample_num", "scenario", "ignored", *new))
+    xcols = [f"x_{c}" for c in K.FEATURE_COLS]
+
+    def probability(phi):
+        return 1.0 / (1.0 + np.exp(-(base + phi.sum(1))))
+
+    def run(batches):
+        for pdf in batches:
+            X = pdf[xcols].to_numpy(dtype=float)
+            Xc = X.copy()
+            for f in fields:
+                Xc[:, pos[f]] = pdf[f"y_{f}"].to_numpy(dtype=float)
+            phi0, phi1 = shap_values(leaves, base, X, tables), shap_values(leaves, base, Xc, tables)
+            out = pdf[[*keys, "scenario", "ignored"]].copy()
+            out["p0"], out["p1"] = probability(phi0), probability(phi1)
+            out["phi0"], out["phi1"] = phi0[:, fi], phi1[:, fi]
+            yield out
+
+    documented = np.array([[K.MISSING_SENTINEL if K.DOCUMENTED_CLAIM[f] is None else float(K.DOCUMENTED_CLAIM[f])
+                            for f in K.FEATURE_COLS]])
+    baseline = float(probability(shap_values(leaves, base, documented, tables))[0])
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [SCENARIO_SCHEMA])
+    scored = rows.select(*keys, "scenario", "ignored", *xcols, *new).mapInPandas(run, schema)
+    return compare_legs(scored, keys, baseline)

@@ -428,6 +428,53 @@ def q_what_if_prior_auth(spark, sf_dir):
     return WI.what_if(f, P.intercept(spark, sf_dir), P.background_means(spark, sf_dir), WI.PRIOR_AUTH_FIX)
 
 
+def _risk_sql(p):
+    return f"CASE WHEN {p} >= 0.7 THEN 'HIGH' WHEN {p} >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def _legs_sql(rows: str) -> str:
+    """Three legs from ``rows``: the claim under its scenario, with ``p0``, ``phi0`` and the background means."""
+    focus = f"{K.W_NO_PRIOR_AUTH!r} * ((1.0 - COALESCE(CAST(prior_auth_present AS DOUBLE), 0.0)) - m_no_prior_auth)"
+    base = O.LO_SQL
+    for f in ("is_inpatient", "los_days", "clm_pmt_amt", "prior_auth_present", "primary_icd9_num", "chronic_count",
+              "bene_hi_mons", "bene_hmo_mons"):
+        base = base.replace(f"CAST({f} AS", f"CAST({K.DOCUMENTED_CLAIM[f]!r} AS")
+    clipped = "1.0 / (1.0 + EXP(-GREATEST(-20.0, LEAST(20.0, {}))))"
+    return f"""
+SELECT sample_num, claim_id, scenario, '' AS ignored, ROUND(p0, 6) AS prob_original, ROUND(p1, 6) AS prob_corrected, ROUND(pb, 6) AS prob_baseline,
+ ROUND(p0 - p1, 6) AS abs_change, ROUND(CASE WHEN p0 > 0 THEN (p0 - p1) / p0 END, 6) AS rel_change, ROUND(p1 - pb, 6) AS above_baseline,
+ ROUND(phi0, 6) AS shap_original, ROUND(phi1, 6) AS shap_corrected, ROUND(phi1 - phi0, 6) AS shap_shift,
+ CASE WHEN p0 > 0.5 THEN 'DENY' ELSE 'APPROVE' END AS action_original, CASE WHEN p1 > 0.5 THEN 'DENY' ELSE 'APPROVE' END AS action_corrected,
+ CASE WHEN pb > 0.5 THEN 'DENY' ELSE 'APPROVE' END AS action_baseline,
+ {_risk_sql('p0')} AS risk_original, {_risk_sql('p1')} AS risk_corrected, {_risk_sql('pb')} AS risk_baseline
+FROM (SELECT r.*, {focus} AS phi1, {clipped.format(O.LO_SQL)} AS p1, {clipped.format(base)} AS pb FROM ({rows}) r, ic) t"""
+
+
+@register("what_if_scenarios", O.with_ctes(["sh"], _legs_sql("""
+SELECT claim_id, sample_num, s.scenario, denial_prob AS p0, phi_prior_auth_present AS phi0, m_no_prior_auth, is_inpatient, chronic_count, bene_hmo_mons,
+ CASE WHEN s.k IN (1, 5) THEN 1 ELSE prior_auth_present END AS prior_auth_present, CASE WHEN s.k IN (2, 5) THEN 80.0 ELSE clm_pmt_amt END AS clm_pmt_amt,
+ CASE WHEN s.k IN (2, 5) THEN 2 ELSE los_days END AS los_days, CASE WHEN s.k IN (3, 5) THEN 12 ELSE bene_hi_mons END AS bene_hi_mons,
+ CASE s.k WHEN 4 THEN NULL WHEN 5 THEN 401 ELSE primary_icd9_num END AS primary_icd9_num
+FROM sh, mu, (VALUES """ + ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(K.WHAT_IF_SCENARIOS)) + ") s(k, scenario)")))
+def q_what_if_scenarios(spark, sf_dir):
+    """XAI-8, JOIN-3: every claim under a table of scenarios, beside its own and the documented claim's score."""
+    table = spark.createDataFrame(K.WHAT_IF_SCENARIOS, "scenario string, changes map<string,double>")
+    return WI.what_if_scenarios(P.claims_features(spark, sf_dir), table, P.intercept(spark, sf_dir), P.background_means(spark, sf_dir))
+
+
+@register("what_if_own_corrections", O.with_ctes(["sh"], _legs_sql("""
+SELECT claim_id, sample_num, 'own' AS scenario, denial_prob AS p0, phi_prior_auth_present AS phi0, m_no_prior_auth, is_inpatient, los_days, chronic_count,
+ bene_hi_mons, bene_hmo_mons, primary_icd9_num, 1 AS prior_auth_present, CASE WHEN clm_pmt_amt <= 0 THEN 80.0 ELSE clm_pmt_amt END AS clm_pmt_amt
+FROM sh, mu WHERE prior_auth_present = 0""")))
+def q_what_if_own_corrections(spark, sf_dir):
+    """XAI-8 with a corrections table by claim: what each unauthorised claim lacks, filled in."""
+    f = P.claims_features(spark, sf_dir)
+    fill = F.map_filter(F.create_map(F.lit("prior_auth_present"), F.lit(1.0), F.lit("clm_pmt_amt"), F.when(F.col("clm_pmt_amt") <= 0, 80.0)),
+                        lambda _, v: v.isNotNull())
+    table = f.filter(F.col("prior_auth_present") == 0).select("sample_num", "claim_id", F.lit("own").alias("scenario"), fill.alias("changes"))
+    return WI.what_if_scenarios(f, table, P.intercept(spark, sf_dir), P.background_means(spark, sf_dir))
+
+
 # --- slice 7: audit -----------------------------------------------------------
 _AV = ("CASE WHEN final_decision IS NULL OR NOT regexp_matches(final_decision, '^(APPROVE|DENY)$') THEN 'decision' END, "
        "CASE WHEN override_reason IS NULL OR length(override_reason) < 5 THEN 'reason_too_short' END")
@@ -835,3 +882,11 @@ def q_model_what_if(spark, sf_dir):
     from ..operators import treeshap as TS
     f = P.claims_features(spark, sf_dir).filter(F.col("prior_auth_present") == 0)
     return TS.what_if(f, M.tree_arrays(spark, sf_dir), WI.PRIOR_AUTH_FIX)
+
+
+@register("model_what_if_scenarios")
+def q_model_what_if_scenarios(spark, sf_dir):
+    """XAI-8 on the trained model: every claim under a table of scenarios."""
+    from ..operators import treeshap as TS
+    table = spark.createDataFrame(K.WHAT_IF_SCENARIOS, "scenario string, changes map<string,double>")
+    return TS.what_if_scenarios(P.claims_features(spark, sf_dir), M.tree_arrays(spark, sf_dir), table)

@@ -46,3 +46,22 @@ def test_confusion_f1(spark):
     assert (c.tp, c.fp, c.tn, c.fn) == (2, 1, 1, 1)
     f = ME.f1_precision_recall(ME.confusion(df)).first()
     assert (f.precision, f.recall, f.f1) == (0.6667, 0.6667, 0.6667)
+
+
+def test_ranges_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 11 == 0 else "ab"[k % 2], float(round(s, 2)), int(k % 3 == 0)) for k, s in enumerate(rng.random(500))]
+    counts = ME.score_counts(spark.createDataFrame(rows, "split string, score double, denial_label int"), "split", "score", "denial_label")
+
+    def found(**kw):
+        return sorted(map(tuple, ME.prefix_counts(counts, "split", **kw).collect()), key=repr)
+
+    want = []
+    for g in {r[0] for r in rows}:
+        of = [(s, y) for h, s, y in rows if h == g]
+        for s in {s for s, _ in of}:
+            here = [y for t, y in of if t == s]
+            below = [y for t, y in of if t < s]
+            want.append((g, s, sum(here), len(here) - sum(here), sum(below), len(below) - sum(below)))
+    assert found(n_buckets=1) == found(n_buckets=7) == found(rows_per_range=10) == sorted(want, key=repr)
+    assert ME.prefix_counts(counts.limit(0), "split").count() == 0

@@ -10,7 +10,7 @@ from scripts.check_oracle import TABLES, rows_of
 NAMES = ["denial_rate_by_prior_auth", "claims_bene_left_join", "feature_table", "icd9_prefix_normalised",
          "survey_rates", "label_summary", "validate_claims", "column_medians", "roc_auc", "average_precision",
          "scorecard_shap", "top_drivers", "waterfall", "protected_rank", "counterfactual_hints",
-         "what_if_prior_auth", "audit_page", "audit_report", "letter_compliance"]
+         "what_if_prior_auth", "what_if_scenarios", "what_if_own_corrections", "audit_page", "audit_report", "letter_compliance"]
 
 
 @pytest.fixture(scope="module")
