@@ -119,7 +119,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _span_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
-  SELECT rid, {number} AS number, '{kind}' AS kind, value, pos - length(hit) AS start, pos AS "end" FROM (
+  SELECT rid, {number} AS number, '{kind}' AS kind, regexp_replace(value, '{secret_scan.LAYOUT}', '', 'g') AS value, pos - length(hit) AS start, pos AS "end" FROM (
     SELECT rid, hit, value, (sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY rid ORDER BY i))::BIGINT AS pos FROM (
       SELECT rid, unnest(string_split_regex(t, '{quoted}')) AS gap, unnest(regexp_extract_all(t, '{quoted}')) AS hit,
              unnest(regexp_extract_all(t, '{quoted}', {group})) AS value, generate_subscripts(string_split_regex(t, '{quoted}'), 1) AS i
@@ -130,13 +130,14 @@ def _span_sql(number: int, kind: str, pattern: str, group: int, least: int) -> s
 OP4_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(_span_sql(n, *k) for n, k in enumerate(secret_scan.KINDS))}),
-o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM f JOIN d USING (rid) GROUP BY value),
-j AS (SELECT f.*, owners, repositories, owners <= 1 AND len(list_distinct(regexp_extract_all(value, '.'))) >= {secret_scan.LIVE_CHARACTERS} AS live FROM f JOIN o USING (value)),
+r AS (SELECT value, source, count(DISTINCT (source, doc_id)) AS held FROM f JOIN d USING (rid) GROUP BY value, source),
+o AS (SELECT value, count(*) AS owners, sum(held)::BIGINT AS repositories, count(*) > 1 OR max(held) > {secret_scan.MAX_REPOSITORIES} AS copied FROM r GROUP BY value),
+j AS (SELECT f.*, owners, repositories, copied, NOT copied AND len(list_distinct(regexp_extract_all(value, '.'))) >= {secret_scan.LIVE_CHARACTERS} AS live FROM f JOIN o USING (value)),
 a AS (
   SELECT rid, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
          string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, number) FILTER (number < 3) AS base,
          string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, number) FILTER (number < 3 OR live) AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (owners > 1) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories
+         count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
