@@ -201,18 +201,29 @@ FROM d LEFT JOIN k USING (rid)
 """
 
 
-_TEMPLATES = ", ".join(f"('{name}', {licenses.template_bigrams(text)!r})" for name, text in licenses.NOTICES)
+_TEMPLATES = ", ".join(f"('{name}', {licenses.template_bigrams(text)!r})" for name, text in licenses.TEMPLATES)
 OP7_SQL = rf"""
 WITH t(license, own) AS (VALUES {_TEMPLATES}),
 d AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, doc_id,
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}') AS low,
          trim(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}'), '{licenses.END}', chr(10), 'g'), '[^a-z0-9
 ]+', ' ', 'g'), ' ') AS clean
   FROM documents),
 u AS (SELECT rid, doc_id, clean, list_filter(string_split_regex(clean, ' ?
  ?'), lambda x: x <> '') AS units FROM d),
+l AS (
+  SELECT rid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(low, '\r\n', chr(10), 'g'), '[\r\x0B\x0C]', chr(10), 'g'),
+         '[^a-z0-9.!?\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS lines FROM d),
+p AS (SELECT rid, list_filter(list_transform(string_split_regex(lines, '\n{{2,}}'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS paragraphs FROM l),
+q AS (SELECT rid, len(paragraphs) AS n, unnest(paragraphs) AS par FROM p),
 v AS (
   SELECT rid, unnest(units) AS unit FROM u
+  UNION ALL SELECT rid, unit FROM (
+    SELECT rid, trim(regexp_replace(run, '[.!? \n]+', ' ', 'g'), ' ') AS unit FROM (
+      SELECT rid, par AS run FROM q WHERE n > 1 AND regexp_matches(par, '{licenses.STOP}|\n')
+      UNION ALL SELECT rid, run FROM (SELECT rid, unnest(string_split_regex(par, '{licenses.STOP}')) AS run FROM q WHERE regexp_matches(par, '{licenses.STOP}'))
+      WHERE contains(run, chr(10))))
+  WHERE unit <> ''
   UNION ALL SELECT rid, trim(regexp_replace(clean, '[ 
 ]+', ' ', 'g'), ' ') FROM u WHERE len(units) > 1),
 w AS (SELECT rid, row_number() OVER () AS uid, string_split(unit, ' ') AS words FROM v),
