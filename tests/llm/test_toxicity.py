@@ -81,3 +81,37 @@ def test_each_class_has_its_share_of_the_characters():
     assert T.within(rows, 10**9).equals(rows)
     alone = T.within(rows.iloc[[0, 80]], 500)
     assert sorted(zip(alone.toxic, alone.text.str.len())) == [(0, 250), (1, 250)]
+
+
+def plain_score(text, model):
+    """Each word's vector is the mean of its n-grams' embeddings; their average goes through the softmax, shifted to the share of the labels."""
+    place = {int(b): k for k, b in enumerate(model["buckets"])}
+    letters = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    total = np.zeros(T.DIM)
+    for word in letters:
+        whole = f"<{word}>"
+        parts = [whole] + [whole[i:j] for i in range(len(whole)) for j in range(i + 3, min(i + 6, len(whole)) + 1)]
+        for part in parts:
+            at = place.get(zlib.crc32(part.encode()) % T.BUCKETS)
+            if at is not None:
+                total += model["embedding"][at].astype(float) / len(parts)
+    mean = T.SCALE * total / max(len(letters), T.LEAST_WORDS)
+    share = min(max(float(model["share"]), 0.005), 0.995)
+    logits = mean @ model["softmax"].astype(float) + model["bias"][0].astype(float) + np.log([1 - share, share])
+    e = np.exp(logits - logits.max())
+    return float((e / e.sum())[1])
+
+
+def test_scores_equal_a_plain_softmax(spark, docs_of, nasty, sf_small):
+    given = spark.read.parquet(f"{sf_small}/documents.parquet")
+    model = T.train(given, spark.read.parquet(f"{sf_small}/labels.parquet"))
+    odd = docs_of([(9000 + k if i is not None else None, t) for k, (i, t) in enumerate(nasty)] + [(9999, "é_Ä 日本-語 naïve ９ x")])
+    for docs in (given, odd):
+        texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        want = sorted(((i, plain_score(t, model)) for i, t in texts), key=repr)
+        got = sorted(((r.doc_id, r.score) for r in T.score(docs, model).collect()), key=repr)
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-4)
+        sure = [(i, t) for i, t in texts if abs(plain_score(t, model) - 0.3) > 1e-3]
+        kept = [(r.doc_id, r.text) for r in T.clean_rows(docs, model).select("doc_id", "text").collect()]
+        assert all((kept.count(row) > 0) == (plain_score(row[1], model) < 0.3) for row in sure)
