@@ -674,17 +674,21 @@ def stage_raw_files(spark, sf_dir) -> str:
     """Write the adapter's raw tables as per-sample CSV files (the raw file layout) and return their folder.
 
     Samples 1 and 2 share the claims but for every tenth, and differ in header;
-    sample 3 has the rest and one record that is cut short.
+    sample 3 has the rest and one record that is cut short. The claims are
+    derived once and written by sample and kind, from where each file's rows come.
     """
-    root = _stage_root(spark, sf_dir, f"raw/{_uuid.uuid4().hex}")
-    raw = FX.raw_claims(spark, sf_dir)
+    run = _uuid.uuid4().hex
+    root, table = _stage_root(spark, sf_dir, f"raw/{run}"), _stage_root(spark, sf_dir, f"raw-claims/{run}")
     n = F.col("CLM_ID").cast("long")
-    of = F.when(n % 10 == 9, 3).otherwise(1 + n % 2)
+    of = F.when(n % 10 == 9, 3).otherwise(1 + n % 2).cast("int")
+    raw = FX.raw_claims(spark, sf_dir).withColumns({"of_sample": of, "of_kind": F.col("claim_type")})
+    raw.write.partitionBy("of_sample", "of_kind").parquet(table)
+    raw = spark.read.schema(raw.schema).parquet(table)
     bene = FX.raw_bene(spark, sf_dir)
     for sample in (1, 2, 3):
         for kind in ("IP", "OP", "BENE"):
             wanted = {"IP": K.IP_COLS, "OP": K.OP_COLS, "BENE": bene.columns}[kind]
-            part = bene if kind == "BENE" else raw.filter((F.col("claim_type") == kind) & (of == sample))
+            part = bene if kind == "BENE" else raw.filter((F.col("of_kind") == kind) & (F.col("of_sample") == sample))
             cols = [c for c in wanted if c in part.columns]
             if sample == 2:
                 cols = [c for c in reversed(cols) if c not in _LACKING[kind]]

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from claimspark.plans import catalog as C
 from claimspark.sources import samples as S
 
 BENE = "DE1_0_2008_Beneficiary_Summary_File_Sample_{}.csv"
@@ -111,3 +112,15 @@ def test_surplus_fields_are_marked(spark, tmp_path):
     put(d, BENE.format(1), "DESYNPUF_ID", "b1")
     staged = S.stage(spark, d, [1])
     assert [r[0] for r in staged.tables["OP"].orderBy("CLM_ID").select(S.BAD).collect()] == [False, True]
+
+
+def test_raw_files_derive_the_claims_once(spark, sf_small, monkeypatch):
+    """Each file's rows come from the table written once: no file joins and ranks the order lines again."""
+    plans, write = [], C._write_csv
+    monkeypatch.setattr(C, "_write_csv", lambda df, path: (plans.append((path, df._jdf.queryExecution().toString())), write(df, path)))
+    root = C.stage_raw_files(spark, sf_small)
+    claims = [plan for path, plan in plans if "Claims" in path]
+    assert len(claims) == 6 and not any("Window" in plan or "Join" in plan for plan in claims)
+    raw = C.FX.raw_claims(spark, sf_small)
+    n = sum(spark.read.option("header", True).csv(f"{root}/{C._FILES[kind].format(s)}").filter("CLM_ID <> 'short'").count() for kind in ("IP", "OP") for s in (1, 2, 3))
+    assert n == raw.count()
