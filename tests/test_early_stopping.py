@@ -87,3 +87,9 @@ def test_saved_model_loads(spark, fitted, frame, tmp_path):
     assert cols == list(K.FEATURE_COLS)
     a, b = (MD.score(m, frame).agg(F.sum("prediction_prob"), F.count("*")).first() for m in (model, models["champion"].model))
     assert a[0] == pytest.approx(b[0]) and a[1] == b[1]
+
+
+def test_training_partitions_are_large(spark):
+    """A level of a tree is a job over all partitions: few large ones, in number by the data alone."""
+    rows = spark.range(250).select(F.col("id").cast("string").alias("claim_id"))
+    assert [MD._spread(rows, n).rdd.getNumPartitions() for n in (1, 100_000, 100_001, 7_200_000)] == [1, 1, 2, 72]
