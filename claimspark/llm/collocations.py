@@ -1,9 +1,9 @@
 """Phrase collocations, mined from sorted count streams.
 
-Counting. Three reads of the texts, each combining in its tasks: words; then
-cells of word pairs, to know which pairs can be frequent; then phrases of 2 to
-``longest`` words whose pairs can be. A phrase is frequent only if its words and
-pairs are. What a task must know of them is a bit per cell in a filter of
+Counting. Four reads of the texts, each combining in its tasks: words; then
+cells of word pairs, to know which pairs can be frequent; then cells of three
+words whose pairs can be; then phrases of 2 to ``longest`` words whose parts
+can be. A phrase is frequent only if all its parts are. What a task must know of them is a bit per cell in a filter of
 ``FILTER_BITS``, whatever the size of the corpus: a wrong bit lets more phrases be
 counted, none fewer, and all that is kept is counted exactly.
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,10 @@ ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TO_END = bytes.maketrans(ENDS, END * len(ENDS))
 #: Bits of a filter, a power of two.
 FILTER_BITS = 1 << 27
+#: Words of the longest phrases that have a filter: longer ones are counted where all their parts of so many words may be frequent.
+FILTERED = 3
+#: Partitions of the input that a task of the last count reads, where that leaves as many tasks as cores.
+SCANS = 8
 #: Bits of a row of Spark's bitmap functions (fixed there).
 _ROW_BITS = 32768
 #: Bytes of text that a task takes apart at once, words that it combines at once, and words that it remembers.
@@ -141,21 +146,42 @@ def _runs(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple
         yield give(lang)
 
 
-def _pair_cells(ids: Ids, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where two numbered words begin, and the filter cell of each such pair."""
+def _pairs(ids: Ids, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two numbered words begin, ascending, and the hash of each such pair."""
     starts = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-    own = np.array(ids.hashes, np.uint64)
-    hashes = mix(own[numbers[starts]] * np.uint64(0x9E3779B97F4A7C15) + own[numbers[starts + 1]])
-    return starts, (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return starts, _longer(np.array(ids.hashes, np.uint64)[numbers[starts]], ids, numbers[starts + 1])
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch], word_bits: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the cells of pairs of words that may be frequent, packed by filter row (``row, cells``).
+def _longer(hashes: np.ndarray, ids: Ids, last: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that one word more is added to."""
+    return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + np.array(ids.hashes, np.uint64)[last])
 
+
+def _through(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter lets them through."""
+    cells = (hashes & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _both(starts: np.ndarray) -> np.ndarray:
+    """Which of the phrases that begin at ``starts`` have the next one, a word later, there too: both parts of a phrase one word longer."""
+    return np.flatnonzero(starts[1:] == starts[:-1] + 1)
+
+
+def count_cells(batches: Iterator[pa.RecordBatch], word_bits: np.ndarray, filters: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the cells of phrases whose words and shorter phrases may all be frequent, packed by filter row (``row, cells``).
+
+    ``filters``: of pairs, of three words, ...; the phrases counted are one word longer than the last.
     ``cells``: the places of the cells in the row (16 bits each), then their counts (32 bits each).
     """
     for _, ids, numbers in _runs(batches, word_bits):
-        cells, counts = np.unique(_pair_cells(ids, numbers, bits)[1], return_counts=True)
+        starts, hashes = _pairs(ids, numbers)
+        for k, f in enumerate(filters, 3):
+            kept = _through(f, hashes)
+            starts, hashes = starts[kept], hashes[kept]
+            more = _both(starts)
+            starts, hashes = starts[more], _longer(hashes[more], ids, numbers[starts[more] + k - 1])
+        cells, counts = np.unique((hashes & np.uint64(bits - 1)).astype(np.int64), return_counts=True)
         rows, at = np.unique(cells // _ROW_BITS, return_index=True)
         ends = [*at[1:], len(cells)]
         places, counts = (cells % _ROW_BITS).astype("<u2"), counts.astype("<u4")
@@ -183,23 +209,43 @@ def frequent_cells(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
         yield give()
 
 
-def count_phrases(batches: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of phrases of 2 to ``longest`` words all of whose pairs may be frequent."""
+def count_phrases(batches: Iterator[pa.RecordBatch], word_bits: np.ndarray, filters: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of phrases of 2 to ``longest`` words that the filters (of pairs, of three words, ...) let through with all their parts."""
     for lang, ids, numbers in _runs(batches, word_bits):
-        starts, cells = _pair_cells(ids, numbers, len(pair_bits) * 8)
-        starts = starts[((pair_bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)]
-        linked = np.zeros(len(numbers), bool)
-        linked[starts] = True
-        words = pa.array(ids.words, pa.binary())
+        starts, hashes = _pairs(ids, numbers)
         first = numbers[starts]  # a phrase is numbered by its first words' number and its last word
+        words = pa.array(ids.words, pa.binary())
         for k in range(2, longest + 1):
+            if k > 2:
+                more = _both(starts)
+                starts, first = starts[more], first[more]
+                hashes = _longer(hashes[more], ids, numbers[starts + k - 1])
+            if k - 2 < len(filters):
+                kept = _through(filters[k - 2], hashes)
+                starts, first, hashes = starts[kept], first[kept], hashes[kept]
             if not len(starts):
                 break
             _, at, first, counts = np.unique(first << 32 | numbers[starts + k - 1], return_index=True, return_inverse=True, return_counts=True)
             places = starts[at]
             yield _rows(lang, pc.binary_join_element_wise(*[words.take(pa.array(numbers[places + j])) for j in range(k)], b" "), counts)
-            more = linked[starts + k - 1]  # the pair of the last word and the next
-            starts, first = starts[more], first[more]
+
+
+def combined(batches: Iterator[pa.RecordBatch], most: int = RUN) -> Iterator[pa.RecordBatch]:
+    """The rows of ``lang, phrase, n``, summed by phrase over a whole task unless more than half of ``most`` rows are left of ``most``."""
+    held: list[pa.RecordBatch] = []
+
+    def summed() -> list[pa.RecordBatch]:
+        return pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"]).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) > most:
+            held = summed()
+            if sum(b.num_rows for b in held) > most // 2:
+                yield from held
+                held = []
+    if held:
+        yield from summed()
 
 
 def gathered(rows: DataFrame, bits: int) -> np.ndarray:
@@ -230,9 +276,14 @@ def frequent(docs: DataFrame, least: int, longest: int, bits: int = FILTER_BITS)
     cells = words.filter("phrase <> ''").select("lang", "phrase").mapInArrow(lambda b: _word_cells(b, bits), "cell long")
     rows = cells.groupBy(F.shiftright("cell", 15).alias("row")).agg(F.expr(f"bitmap_construct_agg(cell & {_ROW_BITS - 1})").alias("bits"))
     word_bits = spark.sparkContext.broadcast(gathered(rows, bits))
-    cells = texts.mapInArrow(lambda b: count_pairs(b, word_bits.value, bits), "row long, cells binary").repartition("row").sortWithinPartitions("row")
-    pair_bits = spark.sparkContext.broadcast(gathered(cells.mapInArrow(lambda b: frequent_cells(b, least), "row long, bits binary"), bits))
-    phrases = texts.mapInArrow(lambda b: count_phrases(b, word_bits.value, pair_bits.value, longest), _COUNTS)
+    filters: list[Broadcast] = []
+    for _ in range(2, min(longest, FILTERED) + 1):
+        cells = texts.mapInArrow(lambda b, held=tuple(filters): count_cells(b, word_bits.value, [f.value for f in held], bits), "row long, cells binary")
+        rows = cells.repartition("row").sortWithinPartitions("row").mapInArrow(lambda b: frequent_cells(b, least), "row long, bits binary")
+        filters.append(spark.sparkContext.broadcast(gathered(rows, bits)))
+    # nearly every task meets nearly every frequent phrase, so the counts that tasks give grow with tasks times phrases: fewer and longer tasks
+    tasks = max(spark.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // SCANS))
+    phrases = texts.coalesce(tasks).mapInArrow(lambda b: combined(count_phrases(b, word_bits.value, [f.value for f in filters], longest)), _COUNTS)
     return write_shared(words.unionByName(summed(phrases, "lang", "phrase").filter(F.col("n") >= least)), "counts")
 
 

@@ -102,3 +102,43 @@ def test_slices_keep_every_word(monkeypatch):
 
 def test_exact_score_beyond_64_bits():
     assert co.best_cut(10 ** 12, 10 ** 16, [10 ** 13], [10 ** 12 + 1]) == (1000 * 10 ** 28 // (10 ** 13 * (10 ** 12 + 1)), 1, 10 ** 13, 10 ** 12 + 1)
+
+
+def test_tasks_give_a_phrase_once():
+    """Partial counts are combined over a task, not only over a run of words, and all are given where too many differ."""
+    import pyarrow as pa
+    rows = [co._rows("en", pa.array([b"a b", b"c d"]), [3, 1]), co._rows("de", pa.array([b"a b"]), [5]), co._rows("en", pa.array([b"a b", "\u00e9 f".encode()]), [4, 9])]
+    got = [tuple(r.values()) for b in co.combined(iter(rows)) for r in b.to_pylist()]
+    assert sorted(got) == [("de", "a b", 5), ("en", "a b", 7), ("en", "c d", 1), ("en", "\u00e9 f", 9)]
+    many = [co._rows("en", pa.array([f"w{k} x".encode() for k in range(50)] + [b"a b"]), [1] * 51) for _ in range(3)]
+    total = Counter()
+    for most in (1, 60, 10 ** 6):
+        total.clear()
+        for b in co.combined(iter(many), most):
+            total.update(dict(zip(b.column(1).to_pylist(), [0] * b.num_rows)))
+            for r in b.to_pylist():
+                total[r["phrase"]] += r["n"]
+        assert total["a b"] == 3 and sum(total.values()) == 153
+    assert list(co.combined(iter([]))) == []
+
+
+def test_rare_triples_of_frequent_pairs_are_not_given(spark):
+    """The last count gives phrases of three words and more only where their three-word parts may be frequent."""
+    import numpy as np
+    import pyarrow as pa
+    texts = ["a b c"] * 30 + ["a b", "b c"] * 30 + [f"b c d{k}. a b d{k}. c d{k}" for k in range(30)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    bits, least = 1 << 20, 25
+    words = np.full(bits // 8, 255, np.uint8)
+    filters = []
+    for _ in range(2):
+        held = np.zeros(bits, np.int64)
+        for out in co.count_cells(iter([batch]), words, filters, bits):
+            for row, cells in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                n = len(cells) // 6
+                held[row * 32768 + np.frombuffer(cells, "<u2", n).astype(np.int64)] += np.frombuffer(cells, "<u4", n, 2 * n)
+        filters.append(np.packbits(held >= least, bitorder="little"))
+    got = Counter()
+    for b in co.count_phrases(iter([batch]), words, filters, 5):
+        got.update({r["phrase"]: r["n"] for r in b.to_pylist()})
+    assert got == {"a b": 90, "b c": 90, "a b c": 30}
