@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import write_shared
-from .tokens import WIDE, Room, encode_in_slices
+from .tokens import WIDE, Room, encode_in_slices, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one (length, bucket) group, about.
@@ -110,9 +110,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def cut(batches):
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            rows = [[] for _ in range(5 + keep_ids)]
-            for k, ids in encode_in_slices(tokenizer, texts, room):
+            names, rows = batch.column(0), [[] for _ in range(5 + keep_ids)]
+            for k, ids in encode_in_slices(tokenizer, batch.column(1), room):
                 ids += end
                 n, start = len(ids) // 4, 0
                 size = n % capacity or capacity
@@ -169,7 +168,9 @@ def assign(rows: DataFrame, capacity: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, room: Room = WIDE) -> DataFrame:
     """Pack all documents: one row per piece with its sequence and its place there."""
-    return assign(write_shared(pieces(docs, tokenizer, capacity, end_id, keep_ids, room), "pieces"), capacity)
+    with slices(docs.sparkSession, room):
+        written = write_shared(pieces(docs, tokenizer, capacity, end_id, keep_ids, room), "pieces")
+    return assign(written, capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, write_shared
-from .tokens import encode_in_slices
+from .tokens import encode_in_slices, slices
 
 #: Sequences of a record batch.
 BATCH = 256
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int =
                 sink = fs.open_output_stream(path)
                 writer = SequenceWriter(sink, length, wide)
             starts, sizes = [], []
-            for _, ids in encode_in_slices(tokenizer, batch.column(1).to_pylist()):
+            for _, ids in encode_in_slices(tokenizer, batch.column(1)):
                 ids = np.frombuffer(ids + end, "<u4")
                 writer.add(ids)
                 starts.append(at)
@@ -143,7 +143,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int =
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = source.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return write_shared(dealt.mapInArrow(write, "file string, part long, doc_id long, at long, n_tokens long"), "manifest")
+    with slices(spark):
+        return write_shared(dealt.mapInArrow(write, "file string, part long, doc_id long, at long, n_tokens long"), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
