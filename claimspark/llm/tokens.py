@@ -51,7 +51,7 @@ class Room(NamedTuple):
 
 
 #: For jobs that only tokenize, and for workers that share their executor with other stages.
-WIDE, NARROW = Room(8_000_000, 1_000_000), Room(2_000_000, 400_000)
+WIDE, NARROW = Room(8_000_000, 1_000_000), Room(1_000_000, 100_000)
 
 
 class Encoder:
