@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from claimspark.llm import jaccard_join as J
-from claimspark.llm.components import components
+from claimspark.llm.components import components, stars
 
 
 def shingle_set(text, width):
@@ -94,6 +94,51 @@ def test_components_of_paths_and_stars(spark):
     assert np.iinfo(np.int64).min <= J.node_of(np.empty(0, np.uint64)) <= np.iinfo(np.int64).max
 
 
+def stages_of(spark, action):
+    """Spark's stages that the action ran, and what it gave."""
+    sc, group = spark.sparkContext, f"stages-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        found = action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    jobs = map(tracker.getJobInfo, tracker.getJobIdsForGroup(group))
+    return len({s for job in jobs for s in job.stageIds}), found
+
+
+def test_few_edges_take_few_stages(spark):
+    """A path needs many rounds of stars, whose stages the driver has to remember; a task joins up a short one."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(3000)], "a long, b long")
+    stages, rows = stages_of(spark, lambda: components(edges).collect())
+    assert {tuple(r) for r in rows} == {(k, 0) for k in range(3001)} and len(rows) == 3001
+    assert stages <= 20
+
+
+@pytest.mark.parametrize("task_edges", [1, 40, 700])
+def test_components_of_more_edges_than_a_task_joins_up(spark, task_edges):
+    rng = random.Random(task_edges)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 2000 + k) for k in range(300)] + [(3000 + rng.randrange(200), 3000 + rng.randrange(200)) for _ in range(150)]
+    edges += [(-(1 << 63), (1 << 63) - 1), (4000, 4000)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(edges)):
+        before = dict(least)
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges]
+    rng.shuffle(edges)
+    rows = components(spark.createDataFrame(edges, "a long, b long").repartition(5), task_edges=task_edges).collect()
+    assert {tuple(r) for r in rows} == set(least.items()) and len(rows) == len(least)
+
+
+def test_stars():
+    a, b = stars(np.array([9, 7, 5, -3, 30]), np.array([7, 5, 6, -8, 20]))
+    assert dict(zip(a.tolist(), b.tolist())) == {6: 5, 7: 5, 9: 5, -3: -8, 30: 20}
+
+
 @pytest.mark.parametrize("shared", [7, None])
 def test_texts_under_one_id_are_fetched_once(docs_of, monkeypatch, shared):
     """Each set's text is fetched once where many documents share its id."""
