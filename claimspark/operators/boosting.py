@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..session import ensure_checkpoint_dir
+
 # --- MLlib's random numbers --------------------------------------------------
 
 _M32, _M64 = (1 << 32) - 1, (1 << 64) - 1
@@ -292,6 +294,7 @@ class Growth:
         self.depth, self.rate, self.step, self.seed = est.getMaxDepth(), est.getSubsamplingRate(), est.getStepSize(), est.getSeed()
         self._candidates(assembler, est)
         self.sizes = np.array([len(t) + 1 for t in self.thresholds])
+        ensure_checkpoint_dir(self.spark)
         first = _blocks(rows, self.thresholds, xcols).persist(StorageLevel.MEMORY_AND_DISK)
         first.checkpoint()  # every job would carry the plan of the rows
         self.parts = first.map(lambda b: b.part).max() + 1

@@ -66,8 +66,9 @@ def champion(max_iter: int = K.GBT_PARAMS["maxIter"], **kw) -> GBTClassifier:
 
 def challenger(num_trees: int = K.RF_PARAMS["numTrees"], **kw) -> RandomForestClassifier:
     """ML-2: a different ensemble (random forest) with balanced class weights."""
+    # no node ids kept: they are a number per row and tree, twice; a row finds its node by six comparisons
     p = dict(maxDepth=K.RF_PARAMS["maxDepth"], subsamplingRate=K.RF_PARAMS["subsamplingRate"],
-             featureSubsetStrategy="0.8", seed=K.SPLIT_SEED, cacheNodeIds=True, checkpointInterval=10)
+             featureSubsetStrategy="0.8", seed=K.SPLIT_SEED, cacheNodeIds=False, checkpointInterval=10)
     p.update(kw)
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                   numTrees=num_trees, **p)
@@ -172,7 +173,9 @@ def early_stopped(fit, rows: DataFrame, eval_rows: DataFrame, path: str, most: i
     while True:
         est = fit(rounds)
         if isinstance(est, GBTClassifier):  # grown on from the rounds before
-            growth = growth or BO.Growth(rows, est, [f"x_{c}" for c in K.FEATURE_COLS], assembler())
+            if not growth:
+                growth = BO.Growth(rows, est, [f"x_{c}" for c in K.FEATURE_COLS], assembler())
+                rows.unpersist()  # its blocks are written: memory is theirs
             growth.grow(rounds)
             model, trees = None, tree_table(growth.nodes(), growth.weights(), boosted=True)
             history = history + prefix_auc(trees, eval_rows, len(history))
